@@ -64,3 +64,13 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "loomspark_code"), "zip", os.path.dirname(home), os.path.basename(home)))
     sc._loomspark_shipped = True
+
+
+def hash_sample(df: DataFrame, key: str, limit: int) -> list:
+    """About `limit` rows, never more, with hashes of the key in one range: the same rows each time, and no more of them move when the table is larger."""
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    if n > limit:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int((1 << 30) * limit * 0.9 / n)))
+    return df.limit(limit).collect()
