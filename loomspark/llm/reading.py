@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bodies import Bodies
+from ..session import hash_sample
 from .langid import LanguageModel
 from .lines import FUNCTION, Line
 from .pages import _COUNTS, _counts, _documents, fit_bodies, over, samples_of, sound
@@ -90,7 +90,7 @@ def _body(a, columns):
 
 
 def fit(spark: SparkSession, folder: str, parts: dict) -> Ranker:
-    graded = {r.doc_id: r.grade for r in grades(spark, folder).orderBy(F.xxhash64("doc_id")).limit(GRADED).collect()}
+    graded = {r.doc_id: r.grade for r in hash_sample(grades(spark, folder), "doc_id", GRADED)}
     ids = spark.createDataFrame([(int(k),) for k in graded], "doc_id long")
     mine = _documents(spark, folder, "doc_id", "title", "content").join(F.broadcast(ids), "doc_id", "left_semi")
 
