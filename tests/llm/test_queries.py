@@ -1,0 +1,133 @@
+"""The queries over small tables made by hand: nulls, empty and long texts, repeats, empty tables, further columns; and brute force."""
+
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomspark.llm import packing, queries, repeats
+
+DOCS = "doc_id long, url string, title string, content string, text string, lang string, source string, n_chars long, indexed_at timestamp_ntz"
+EMPTY = {
+    "documents": DOCS, "links": "src string, dst string",
+    "search_index": "url string, host string, path string, title string, content string, title_terms string, content_terms string, page_rank float, domain_rank float",
+    "parse_results": "page_id long, url string, title string, content string, outlinks array<string>, feed_links array<string>, parsed_at timestamp_ntz",
+    "eval_items": "item_id long, suite string, lang string, query string, passage string, answer string", "lang_samples": "sample_id long, lang string, text string",
+    "pack_limits": "limit_name string, capacity_tokens int", "reading_labels": "doc_id long, rater string, band int",
+}
+NAMES = sorted(queries.queries())
+
+
+def write(spark, folder, tables, extra=False):
+    for name, schema in EMPTY.items():
+        df = spark.createDataFrame(tables.get(name, []), schema)
+        if extra:
+            for c in ("spam", "n", "key", "lines", "size", "rank", "count"):
+                df = df.withColumn(c, F.lit("x"))
+        df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def samples(spark, data):
+    return [tuple(r) for r in spark.read.parquet(f"{data}/lang_samples.parquet").collect()]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables(spark, tmp_path, name):
+    assert queries.queries()[name](spark, write(spark, tmp_path, {})).count() in (0, 2)
+
+
+def dirty(samples):
+    prose = "The library opens at nine and closes at six. Readers may borrow ten books at a time. " * 6
+    rows = [
+        (1, "https://a.example/1", None, None, None, None, "a.example", 0, None), (2, "https://a.example/2", "", "", "", "", "a.example", 0, None),
+        (3, "https://a.example/3", "A title", prose, "A title\n\n" + prose, "en", "a.example", 9, None), (3, "https://a.example/3", "A title", prose, "A title\n\n" + prose, "en", "a.example", 9, None),
+        (4, None, "cafÃ©", "Der GÃ¤rtner Ã¶ffnet.", "cafÃ©\n\nDer GÃ¤rtner Ã¶ffnet.", "de", None, 9, None), (None, "https://a.example/5", "x", prose, prose, "en", "a.example", 9, None),
+        (6, "https://a.example/6", "Ｗide", "word " * 200_000, "word " * 200_000, "fr", "a.example", 9, None), (7, "https://a.example/7", "{{ title }}", "\n\n\n", "{{ title }}", "en", "a.example", 9, None),
+        (8, "https://a.example/8", "t", "buy cheap shoes best shoes sale shoes " * 30, "t", "en", "a.example", 9, None),
+    ]
+    index = [("https://a.example/3", "a.example", "/3", "A title", prose, "a tit​le", "x", None, None), (None, None, None, None, None, None, None, None, None), ("https://a.example/2", "a.example", "/2", None, None, None, None, None, None)]
+    return {
+        "documents": rows, "search_index": index, "lang_samples": samples, "links": [("https://a.example/3", None), (None, "https://b.example/"), ("https://a.example/3", "https://b.example/"), ("https://a.example/3", "https://b.example/")],
+        "parse_results": [(1, None, None, None, None, [], None), (None, "u", "t", prose, None, [], None), (2, "u", "t", "Skip to content\n" + prose, [], [], None)],
+        "eval_items": [(1, "s", "en", "q", prose[:80], "a"), (2, "s", "en", None, None, None), (3, "s", "en", "q", "", "a")], "pack_limits": [("small", 16), ("none", None), ("zero", 0)],
+        "reading_labels": [(3, "a", 1), (3, "a", 1), (3, "b", None), (None, "a", 2), (99, "a", 3)],
+    }
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory, samples):
+    return write(spark, tmp_path_factory.mktemp("dirty"), dirty(samples), True)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_dirty_tables(spark, folder, name):
+    got = queries.queries()[name](spark, folder)
+    rows = [tuple(r) for r in got.collect()]
+    if name.endswith("_found"):
+        assert len(rows) == len(set(rows)) and not any(None in r for r in rows)
+
+
+def found(spark, folder, name):
+    return {tuple(r) for r in queries.queries()[name](spark, folder).collect()}
+
+
+def test_found(spark, folder):
+    assert found(spark, folder, "p1_found") == {(8,)}
+    assert found(spark, folder, "p2_found") == {(7,)}
+    assert found(spark, folder, "p4_found") == {(4, "title"), (4, "content")}
+    assert found(spark, folder, "p5_found") == {("documents", "6", "title"), ("search_index", "https://a.example/3", "title_terms")}
+    assert ("parse_results", 2, 1) in found(spark, folder, "p7_found")
+    assert found(spark, folder, "p9_found") == {(3, 1)}
+    assert {i for i, _ in found(spark, folder, "p10_found")} <= {3, 6}
+
+
+def like(line):
+    return re.sub(r"\d+", "0", re.sub(r"\s+", " ", line.strip()).lower())
+
+
+def brute(pages, least=3, share=0.05):
+    urls, where = defaultdict(set), defaultdict(set)
+    for host, url, content in pages:
+        urls[host].add(url)
+        for x in content.split("\n") if content else []:
+            if like(x):
+                where[host, like(x)].add(url)
+    return {(url, i) for host, url, content in pages for i, x in enumerate(content.split("\n") if content else [], 1) if like(x) and len(where[host, like(x)]) >= max(least, share * len(urls[host]))}
+
+
+def test_repeated_lines(spark, data):
+    pages = spark.read.parquet(f"{data}/search_index.parquet").select("host", "url", "content")
+    got = {(r.url, r.line_no) for r in repeats.repeated(pages).collect()}
+    assert got == brute([tuple(r) for r in pages.collect()])
+
+
+def test_repeated_lines_hot_host(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "ARRAY", 8)  # the larger half of the containers are bitmaps
+    monkeypatch.setattr(repeats, "CONTAINER", 6)
+    rows = [("h", f"u{i}", "\n".join(["Share  it", "share it " if i % 2 else "SHARE IT", f"Page {i}", f"only {chr(97 + i % 26)}", "" if i % 3 else "three"])) for i in range(300)] + [("g", "x", "Share it"), ("g", "x", "Share it\nnew")]
+    pages = spark.createDataFrame(rows, "host string, url string, content string")
+    assert {(r.url, r.line_no) for r in repeats.repeated(pages).collect()} == {k for k in brute(rows)}
+    clean = {r.url: r.clean for r in repeats.cleaned(pages).collect()}
+    assert "Share" not in clean["u0"] and clean["x"].startswith("Share it")
+
+
+@pytest.mark.parametrize("refined", [True, False])
+def test_packing(spark, refined):
+    sizes = spark.createDataFrame([(i, 1 + (i * 37) % 90) for i in range(400)] + [(1000 + i, 30) for i in range(300)], "doc_id long, tokens int")
+    rows = packing.pack(sizes, [("a", 64), ("b", 500)], refined=refined).collect()
+    want = {r.doc_id: r.tokens for r in sizes.collect()}
+    for name, capacity in (("a", 64), ("b", 500)):
+        own = [r for r in rows if r.limit_name == name]
+        full, parts = defaultdict(int), defaultdict(list)
+        for r in own:
+            full[r.container] += r.tokens
+            parts[r.doc_id].append((r.piece, r.tokens))
+        assert max(full.values()) <= capacity
+        assert {d: sum(t for _, t in p) for d, p in parts.items()} == want
+        for d, p in parts.items():
+            assert sorted(k for k, _ in p) == list(range(-(-want[d] // capacity))) and all(t == capacity for k, t in p if k < len(p) - 1)
+        if refined:
+            assert len(full) <= 1.02 * sum(want.values()) / capacity + 2
