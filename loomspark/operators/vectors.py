@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def dot(a, b) -> Column:
@@ -15,8 +18,12 @@ def norm(a) -> Column:
 
 
 def vector_text(v) -> Column:
-    """[x,y,…] with eight significant digits."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.8g", x.cast("double"))), ","), F.lit("]"))
+    """[x,y,…] with eight significant digits; the JVM has no format that drops trailing zeros."""
+    @F.pandas_udf("string")
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda x: None if x is None else "[" + ",".join(f"{y:.8g}" for y in x) + "]")
+
+    return run(v)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -24,9 +31,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     The queries are a stated set, sent to all tasks in one array; each partition keeps only its k best per query before
     the shuffle, so no pairs are moved."""
-    import numpy as np
-    import pandas as pd
-
     rows = queries.select("vec_id", "embedding").where("embedding is not null").collect()
     ids = [r.vec_id for r in rows]
     q = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
@@ -45,7 +49,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 top = np.lexsort((vec, -np.round(score, 6)))[:k]
                 yield pd.DataFrame({"query_id": i, "vec_id": vec[top], "similarity": np.round(score[top], 6)})
 
-    from pyspark.sql.window import Window
-
     found = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, similarity double").where("similarity > -2")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import logs, search, tables  # noqa: F401
+from .tables import QUERIES, SQL
+
 FLAGSHIP = "pagerank_pages"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
