@@ -15,6 +15,7 @@ nothing; an item shorter than a shingle is compared as one run of its words.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -179,10 +180,10 @@ class Items:
         return out
 
 
-_made: dict[int, tuple] = {}
+_made: dict[str, tuple] = {}
 
 
-def _tools(key: int, shared):
+def _tools(key: str, shared):
     if key not in _made:
         _made.clear()
         _made[key] = (shared.value, Lookalikes())
@@ -202,7 +203,7 @@ def shingle_counts(texts: DataFrame, items: Items) -> np.ndarray:
     spark = texts.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(items)
-    key = id(shared)
+    key = uuid.uuid4().hex
 
     def run(batches):
         got, plain = _tools(key, shared)
@@ -226,7 +227,7 @@ def leaked(spark: SparkSession, folder: str, contained: float = CONTAINED) -> Da
     items = Items(items_of(spark, folder))
     items.rank(shingle_counts(docs.select("text"), items))
     shared = spark.sparkContext.broadcast(items)
-    key = id(shared)
+    key = uuid.uuid4().hex
 
     def run(batches):
         got, plain = _tools(key, shared)

@@ -16,6 +16,7 @@ null or below 1 are left out.
 from __future__ import annotations
 
 import base64
+import uuid
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Sum of capacities up to which the histogram and the plan are made on the driver.
 CAPACITIES = 2_000_000
 
-_encoders: dict[int, object] = {}
+_encoders: dict[str, object] = {}
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
@@ -41,7 +42,7 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
     folder, name = os.path.split(path)
     with open(os.path.join(folder, name), "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    mark = id(shared)
+    mark = uuid.uuid4().hex
 
     def run(batches):
         import tiktoken
