@@ -44,6 +44,8 @@ _ODD = re.compile("[a-zß-öø-ÿ][À-ÖØ-Þ‚ƒ„†‡ˆ‰Š‹Œ•˜™
 _TRAIL = "[\\]^_`{|}~@"
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _PLAIN = re.compile("[\x00-Z_-z]{26,}")
+_HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff]|(?<=[Ѐ-ӿ])\xad(?=[Ѐ-ӿ])")
+_SIGN = re.compile("(?<=[a-zà-ÿ])[À-ÖØ-Þ]|(?<!\\w)[¿¡¬√‡†∆ƒ≈](?=\\s|[a-z])|(?<=[a-z])[‡†√∆ƒ≈](?=[a-z\\s])")
 _CONTEXT = 0xF0000
 
 
@@ -130,10 +132,13 @@ class Encodings:
 
     def _cyrillic(self, text: str) -> float:
         words = re.findall("[а-яё]+", text.lower())
+        if sum(map(len, words)) < 0.5 * sum(not c.isascii() for c in text):
+            return -20.0
         return sum(math.log((self.pair[p] + 0.05) / self.pairs_all) for w in words for p in zip(" " + w, w + " ")) / max(1, sum(len(w) + 1 for w in words))
 
     def _spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, state) of the spans that aren't clean.  No span crosses so much ASCII that leaving it and entering again costs less."""
+        text = _FOREIGN.sub(lambda m: chr(_CONTEXT + ord(m.group())), text)
         out, at = [], 0
         for m in [*_PLAIN.finditer(text), None]:
             end = m.start() if m else len(text)
@@ -144,7 +149,6 @@ class Encodings:
 
     def _viterbi(self, text: str) -> list[tuple[int, int, int]]:
         """States are left and entered through clean."""
-        text = _FOREIGN.sub(lambda m: chr(_CONTEXT + ord(m.group())), text)
         could: Counter = Counter()  # what a state's spans can gain at most; less than it costs to enter it is no use
         for c, n in Counter(text).items():
             for s, v in self.rows.get(c, {}).items():
@@ -213,28 +217,56 @@ class Encodings:
         tried = [(*restore(span, *self.states[s]), s) for s in [state, *near]]
         return max(tried, key=lambda x: (x[1] >= 0.5, self._likely(x[0]) * (1 if x[1] >= 0.5 else 2), x[1]))[2]
 
+    def _words(self, text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Spans between two Cyrillic encodings, which have letters on both sides, grow to whole words, and to the whole line
+        if they hold most of its Cyrillic letters; of the pairs the one is taken whose inverse reads best."""
+        own = [x for x in spans if {*self.states[x[2]][:2]} <= CYRILLIC]
+        if not own:
+            return spans
+        letters = [m.start() for m in _CYRILLIC.finditer(text)]
+        grown: list[list[int]] = []
+        if sum(a <= i < b for a, b, _ in own for i in letters) > 0.6 * len(letters):
+            grown = [[letters[0], letters[-1] + 1]]
+        else:
+            for a, b, _ in own:
+                while a and _CYRILLIC.match(text[a - 1]):
+                    a -= 1
+                while b < len(text) and _CYRILLIC.match(text[b]):
+                    b += 1
+                if grown and a <= grown[-1][1] + 1:
+                    grown[-1][1] = max(b, grown[-1][1])
+                else:
+                    grown.append([a, b])
+        pairs = [k for k, x in enumerate(self.states) if {*x[:2]} <= CYRILLIC]
+        best = lambda part: max(pairs, key=lambda k: self._cyrillic(restore(part, *self.states[k])[0]))
+        rest = [x for x in spans if not {*self.states[x[2]][:2]} <= CYRILLIC and not any(x[0] < b and a < x[1] for a, b in grown)]
+        return sorted(rest + [(a, b, best(text[a:b])) for a, b in grown])
+
     def line(self, text: str) -> tuple[str, bool]:
         """(restored text, damaged) of one line."""
         if text.isascii() or not (self.suspect.search(text) or (_CYRILLIC.search(text) and _CAPS.search(text))):
             return text, False
         if text in self.memo:
             return self.memo[text]
-        out, at, hit = [], 0, False
-        for a, b, s in self._spans(text):
+        whole, text = text, _HIDDEN.sub("", text)
+        out, at, hit, same = [], 0, False, None
+        for a, b, s in self._words(text, self._spans(text)):
             while a < b and text[a].isascii():
                 a += 1
             while b > a and text[b - 1].isascii() and text[b - 1] not in _TRAIL:
                 b -= 1
+            if self.states[s][0] in WIDE and b < len(text) and "@" <= text[b] <= "~" and restore(text[a:b], *self.states[s])[0].endswith((LOST, "?")):
+                b += 1  # the second byte of the last character is a letter
             if a >= b or (b - a <= 6 and a and b < len(text) and text[a - 1] in _OPEN and text[b] in _CLOSE):
                 continue
             span = text[a:b]
-            if self.states[s] != ("w1252", "cp1251", 1):
+            if self.states[s] != ("w1252", "cp1251", 1) and not {*self.states[s][:2]} <= CYRILLIC:
                 s = self._best(span, s)
             right, wrong, times = self.states[s]
             new, good = restore(span, right, wrong, times)
             cyrillic = {right, wrong} <= CYRILLIC
             if cyrillic:
-                if len(re.findall("[Ѐ-ӿ]", span)) < 5 or self._cyrillic(new) < self._cyrillic(span) + 0.5:
+                if len(re.findall("[Ѐ-ӿ]", span)) < 5 or self._cyrillic(new) < self._cyrillic(span) + 0.5 or sum(x != y for x, y in zip(new, span)) < 0.3 * len(span):
                     continue
             elif (right, wrong) == ("w1252", "cp1251"):
                 if good < 0.9 or not _FOREIGN.search(text):
@@ -249,14 +281,19 @@ class Encodings:
                 continue
             out += text[at:a], new
             at, hit = b, True
+            if right in LATIN and wrong in LATIN:
+                same = (right, wrong, times)
         new = "".join(out) + text[at:] if hit else text
+        if same:  # what else of the line is no letter but would be one
+            new = _SIGN.sub(lambda m: x if (x := restore(m.group(), *same)[0]).isalpha() and x.islower() | (m.group() in "¿¡¬√") else m.group(), new)
         if not hit:
             for m in re.finditer(f"{LOST}+", text):
                 if not (m.start() and m.end() < len(text) and text[m.start() - 1] in _OPEN and text[m.end()] in _CLOSE):
                     hit = True
+        got = (new, True) if hit else (whole, False)
         if len(self.memo) < 50_000:
-            self.memo[text] = (new, hit)
-        return new, hit
+            self.memo[whole] = got
+        return got
 
     def text(self, text: str | None) -> tuple[str | None, bool]:
         """(restored text, damaged) of a field; the spans of one line never depend on another line."""

@@ -139,7 +139,7 @@ class Lookalikes:
             start = end - len(found) + 1
             if found == "‍" and (_EMOJI.match(text[start - 1 : start]) or _EMOJI.match(text[end + 1 : end + 2])):
                 continue
-            if found in WIDE_PUNCTUATION and (_JAPANESE.match(text[start - 1 : start]) or _JAPANESE.match(text[end + 1 : end + 2])):
+            if found in WIDE_PUNCTUATION and (_JAPANESE.search(text[max(0, start - 4) : start].rstrip(WIDE_PUNCTUATION)[-1:]) or _JAPANESE.match(text[end + 1 : end + 2])):
                 continue
             if start < at:
                 continue
