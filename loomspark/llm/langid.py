@@ -26,9 +26,20 @@ def code(label: str | None) -> str:
     return got if len(got) == 2 and got.isalpha() and got not in ("xx", "zz") else ""
 
 
+_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+_OTHER = re.compile("[Ѐ-ӿ぀-ヿ一-鿿]")
+
+
+def own_script(text: str) -> str:
+    """Names in Latin letters say nothing about a text in another script; they are left out of it."""
+    if text.isascii() or len(other := _OTHER.findall(text)) < 2:
+        return text
+    return _LATIN.sub("", text) if len(other) * 3 > sum(map(len, _LATIN.findall(text))) else text
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts in a row, the text that each belongs to, and where each order ends."""
-    joined = "\n".join(re.sub(r"\s+", " ", t).lower() if t else "" for t in texts)
+    joined = "\n".join(re.sub(r"\s+", " ", own_script(t)).lower() if t else "" for t in texts)
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     cut = c == 10
     owner = np.cumsum(cut, dtype=np.int32)

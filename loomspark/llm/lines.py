@@ -52,6 +52,9 @@ _BYLINE = re.compile(rf"(?:by|von|par|por|автор:?|written by|文・|執筆)
 _STRICT = re.compile(rf"(?:By|BY|Von|VON|Par|PAR|Por|POR|Автор:?|АВТОР:?|Written by|WRITTEN BY) +[A-Z]\w+ +[A-Z]\w+(?:,.{{0,40}}| · .{{0,40}}|)$|[A-Z]\w+ +[A-Z]\w+ *(?:\||,|·|記者).{{0,40}}\d[^.!?]*$|文・|執筆 ")
 _TAGS = tuple(CUES["tags"].split("|"))
 _BRACE = re.compile(r"[{%\[]|__")
+_TAG = re.compile(r"(?<!\w)#\w")
+_RIGHTS = re.compile(r"©\s*\d{4}|^\s*©|©\s*$")
+_FAULT = re.compile(r"traceback \(most recent call last\):|file \".*\", line \d+, in .+|\w*(?:error|exception): .{0,80}|(?:warning|notice|fatal error|parse error): .* on line \d+|at [\w.$]+\(.*:\d+\)")
 _DIGIT = re.compile("[0-9]")
 _CELLS = re.compile(r"\s[|·;–-]\s|[\t、,；;・]|/ ")
 _TABLE = re.compile(r"\|\s*-?\d[\d.,]*\s*(?:\||$)")
@@ -139,9 +142,9 @@ class Lines:
                 best = KINDS.index("section")
             elif len(flat) < 90 and (_STRICT.match(flat)) and not _END.search(flat):
                 best = KINDS.index("byline")
-            elif re.fullmatch(r"[^>.!?。]{1,40}(?: > [^>]{1,60}){1,4}", flat):
+            elif re.fullmatch(r"[^>.!?。]{1,40}(?: > [^>.!?。]{1,110}){1,4}", flat):
                 best = KINDS.index("crumb")
-            elif "©" in flat and len(flat) < 120:
+            elif "©" in flat and len(flat) < 120 and _RIGHTS.search(flat):
                 best = list(CUES).index("legal") + 1
             elif len(flat) < 120 and (parts := [p for p in re.split(r"\s*[|·]\s*", low) if p]) and len(parts) > 1 and sum(p in SECTIONS or any(w in SECTIONS for w in p.split()) for p in parts) >= 0.5 * len(parts):
                 best = KINDS.index("menu")
@@ -176,7 +179,7 @@ class Lines:
             (top, count), = Counter(runs).most_common(1)
             repeat = count / max(1, len(runs) if cjk > 0.25 * len(bare) else n)
         ends = len(_END.findall(bare))
-        hashes = bare.count("#")
+        hashes = len(_TAG.findall(bare)) if "#" in bare else 0
         cells = len(_CELLS.split(flat))
         digits = len(_DIGIT.findall(flat)) / len(flat)
         title = sum(w[0].isupper() for w in words) / max(1, len(words)) if len(words) < 20 else 0.0
@@ -197,7 +200,7 @@ class Lines:
             symbol = "L"
         elif count >= 3 and repeat >= 0.13 and ends and n >= 8:
             symbol = "W"
-        elif n >= 8 and not ends and (commerce >= 0.18 or repeat >= 0.2 and not (japanese and function > 0.3) and "\ufffd" not in flat) or (commerce >= 0.3 and n >= 3 and not ends) or (n >= 12 and commerce >= 0.3):
+        elif n >= 8 and not ends and (commerce >= 0.18 or repeat >= 0.2 and not (japanese and function > 0.3) and "\ufffd" not in flat) or (commerce >= 0.3 and n + japanese >= 2 and not ends) or (n >= 12 and commerce >= 0.3):
             symbol = "K"
         elif ends and n >= 3:
             symbol = "P"
@@ -229,7 +232,7 @@ class Lines:
             words = _WORD.findall(low)
             if words and sum(map(LATIN.__contains__, words)) > 0.6 * len(words):
                 part = size
-            if low in UNSET or re.fullmatch(r".{0,80}: (?:undefined|null|none|nan|\[object object\])", low):
+            if low in UNSET or _FAULT.fullmatch(low) or re.fullmatch(r".{0,80}: (?:undefined|null|none|nan|\[object object\])", low):
                 part = size
             if part < size and part < 0.45 * size:
                 part = 0  # a sentence that mentions such a phrase
@@ -306,10 +309,12 @@ class Spam:
             words = [w.lower() for x in lines if x.symbol in (0, 2, 3) for w in (_RUN.findall(x.text) if _CJK.search(x.text) else _WORD.findall(x.text))]
             one = Counter(w for w in words if w not in FUNCTION and w not in COMMERCE and (len(w) > 2 or not w.isascii()))
             two = Counter(p for p in zip(words, words[1:]) if p[0] in one)
-            rules = words and (max(one.values(), default=0) >= 0.19 * len(words) or max(two.values(), default=0) >= 0.12 * len(words))
+            most, pair = max(one.values(), default=0) / max(1, len(words)), max(two.values(), default=0) / max(1, len(words))
+            rules = most >= 0.3 if any(not w.isascii() and _CJK.match(w) for w in words) else most >= 0.19 or pair >= 0.12
             if not rules:
                 symbols = [0 if s == 3 else s for s in symbols]
-        if not any(s in (2, 3, 4) for s in symbols):
+        bare = symbols.count(5) >= 6 and not any(s in (0, 1, 7, 8) for s in symbols)  # nothing but short lines
+        if not bare and not any(s in (2, 3, 4) for s in symbols):
             states = [0 if s != 6 else 3 for s in symbols]  # without keywords or links no list is likelier than prose or menu
         else:
             states = self.label(symbols)
