@@ -31,7 +31,7 @@ COMMERCE = set("buy cheap cheapest best top sale discount online wholesale offic
 # What placeholders look like.
 PLACEHOLDER = re.compile(r"\{\{\{?\s*[\w.]+\s*\}?\}\}|\$\{[\w.]+\}|#\{[\w.]+\}|<%=?\s*[\w.]+\s*%>|\{%\s*[\w ._]+\s*%\}|%%[\w.]+%%|\[\[\s*[\w.]+\s*\]\]|(?<!\w)__[A-Za-z][\w.]*?[A-Za-z]__(?!\w)|\[(?:INSERT|insert|Insert) [\w ]+ (?:HERE|here|Here)\]|(?<![\w$#{])\{[A-Za-z][\w.]*\}(?!\})")
 # Words of sentences that speak about such marks instead of leaving them.
-ABOUT = re.compile(r"token|template|placeholder|shell|printed|replaced|variable|syntax|Platzhalter|ersetzt|Vorlage|balise|remplac|modèle|marca \{|plantilla|se sustituye|Метка|заменяется|шаблон|雛形|記号|置き換え|export |load\(|[“„«「`]\s*[{$#<%_\[]", re.I)
+ABOUT = re.compile(r"\btokens?\b|templates?\b|placeholder|\bshell\b|syntax|Platzhalter|Vorlage|balise|modèle|la marca \{|marcador|plantilla|\bМетка\b|шаблон|雛形|記号|export |load\(|[“„«「`]\s*[{$#<%_\[]", re.I)
 # Defaults and unset values.
 UNSET = {"undefined", "null", "none", "nan", "[object object]", "[title missing]", "untitled document", "untitled", "new page 1", "new page", "no title", "(no title)", "title", "n/a", "nil", "ohne titel", "sans titre", "sin título", "без названия", "無題", "無題ドキュメント"}
 # Filler, errors, maintenance, blocking and script messages of pages.
@@ -93,6 +93,12 @@ def _machine(phrases) -> ahocorasick.Automaton:
     return a
 
 
+def unfilled(text: str) -> bool:
+    """Does a sentence of the text hold a placeholder without speaking about it?"""
+    masked = PLACEHOLDER.sub("{x}", text)
+    return masked != text and any("{x}" in part and not ABOUT.search(part) for part in re.split(r"(?<=[.!?。])", masked))
+
+
 class Lines:
     MEMO = 100_000
 
@@ -246,11 +252,10 @@ class Lines:
         """Problem 2 for one document, in normal form."""
         if title:
             t = " ".join(title.split())
-            if t.lower() in UNSET or (PLACEHOLDER.search(t) and not ABOUT.search(t)):
-                return True
-        for x in lines:
-            if not x.code and _BRACE.search(x.text) and PLACEHOLDER.search(x.text) and not ABOUT.search(PLACEHOLDER.sub("{x}", x.text)) and not re.search(r"[“„«「`\"]\s*(?:\{|\$|#\{|<%|%%|\[\[|__)", x.text):
+            if t.lower() in UNSET or unfilled(t):
                 return True
+        if any(not x.code and _BRACE.search(x.text) and unfilled(x.text) for x in lines):
+            return True
         return self.residue_share(lines) >= 0.5
 
 
