@@ -55,6 +55,7 @@ _BRACE = re.compile(r"[{%\[]|__")
 _TAG = re.compile(r"(?<!\w)#\w")
 _RIGHTS = re.compile(r"©\s*\d{4}|^\s*©|©\s*$")
 _FAULT = re.compile(r"traceback \(most recent call last\):|file \".*\", line \d+, in .+|\w*(?:error|exception): .{0,80}|(?:warning|notice|fatal error|parse error): .* on line \d+|at [\w.$]+\(.*:\d+\)")
+_VALUE = re.compile(r".{0,80}: (?:undefined|null|none|nan|\[object object\])")
 _DIGIT = re.compile("[0-9]")
 _CELLS = re.compile(r"\s[|·;–-]\s|[\t、,；;・]|/ ")
 _TABLE = re.compile(r"\|\s*-?\d[\d.,]*\s*(?:\||$)")
@@ -196,7 +197,7 @@ class Lines:
             symbol = "B"
         elif code:
             symbol = "C"
-        elif table:
+        elif table or low in UNSET or _VALUE.fullmatch(low) or (_BRACE.search(flat) and PLACEHOLDER.search(flat) and not ends):
             symbol = "T"
         elif sku or hashes >= 2 or (hashes == 1 and flat[0] == "#" and n <= 4):
             symbol = "K"
@@ -238,7 +239,7 @@ class Lines:
             words = _WORD.findall(low)
             if words and sum(map(LATIN.__contains__, words)) > 0.6 * len(words):
                 part = size
-            if low in UNSET or _FAULT.fullmatch(low) or re.fullmatch(r".{0,80}: (?:undefined|null|none|nan|\[object object\])", low):
+            if low in UNSET or _FAULT.fullmatch(low) or _VALUE.fullmatch(low):
                 part = size
             if part < size and part < 0.45 * size:
                 part = 0  # a sentence that mentions such a phrase
@@ -315,7 +316,8 @@ class Spam:
             one = Counter(w for w in words if w not in FUNCTION and w not in COMMERCE and (len(w) > 2 or not w.isascii()))
             two = Counter(p for p in zip(words, words[1:]) if p[0] in one)
             most, pair = max(one.values(), default=0) / max(1, len(words)), max(two.values(), default=0) / max(1, len(words))
-            rules = most >= 0.3 if any(not w.isascii() and _CJK.match(w) for w in words) else most >= 0.19 or pair >= 0.12
+            enough = max(one.values(), default=0) >= 6
+            rules = enough and (most >= 0.3 if any(not w.isascii() and _CJK.match(w) for w in words) else most >= 0.19 or pair >= 0.12)
             if not rules:
                 symbols = [0 if s == 3 else s for s in symbols]
         bare = symbols.count(5) >= 6 and not any(s in (0, 1, 7, 8) for s in symbols)  # nothing but short lines
@@ -323,6 +325,8 @@ class Spam:
             states = [0 if s != 6 else 3 for s in symbols]  # without keywords or links no list is likelier than prose or menu
         else:
             states = self.label(symbols)
+            if bare and 6 not in symbols:  # without any cue of a menu short lines are none
+                states = [1 if s == 3 else s for s in states]
         n = [0, 0, 0, 0]
         for s, x in zip(states, lines):
             n[s] += x.words + x.links
