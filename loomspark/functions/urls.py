@@ -110,7 +110,7 @@ def normalize_link(base, link) -> Column:
 def private_ipv4(name) -> Column:
     """Is a host an IPv4 literal that is private, loopback, link-local, unspecified or reserved?"""
     h = _c(name)
-    octet = lambda i: F.element_at(F.split(h, r"\."), i).cast("int")
+    octet = lambda i: F.get(F.split(h, r"\."), i - 1).try_cast("int")
     valid = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     a, b = octet(1), octet(2)
     return F.when(valid, a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | (a >= 240)).otherwise(F.lit(False))

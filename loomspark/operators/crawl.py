@@ -94,7 +94,7 @@ def domain_states(results: DataFrame, delay: float = 1.0) -> DataFrame:
 
 def summary_status(status: str = "status") -> Column:
     table = F.create_map(*[F.lit(x) for kv in SUMMARY.items() for x in kv])
-    return F.coalesce(F.element_at(table, F.col(status)), F.col(status))
+    return F.coalesce(F.try_element_at(table, F.col(status)), F.col(status))
 
 
 def failing_domains(logs: DataFrame, since: int, least: int = 5, top: int = 20) -> DataFrame:

@@ -15,8 +15,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import cut
 
 K1, B, TITLE, CANDIDATES = 1.2, 0.75, 3.0, 200
+#: Different terms of a table of queries.
+VOCABULARY = 20_000
 
 
 def index_documents(pages: DataFrame) -> DataFrame:
@@ -123,16 +126,17 @@ def term_statistics(index: DataFrame) -> DataFrame:
 def search_many(index: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, url, score, rank) for a table of queries (query_id, query) against all documents.
 
-    The query terms are few against the postings; the join keeps to terms that a query holds, so hot words of the corpus that no query has cost nothing."""
+    Hot words of the corpus that no query holds cost nothing: a document yields only the queries' terms."""
     docs = _prepared(index).select("url", "_t", "_c")
-    wanted = queries.select("query_id", F.explode(F.array_distinct(T.terms("query"))).alias("term")).withColumn("needed", F.count("*").over(Window.partitionBy("query_id")))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(T.terms("query"))).alias("term")).distinct().withColumn("needed", F.count("*").over(Window.partitionBy("query_id")))
     terms = wanted.select("term").distinct()
+    if terms.limit(VOCABULARY + 1).count() > VOCABULARY:
+        raise ValueError(f"the queries hold more than {VOCABULARY} different terms; search for them in parts")
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean_t"), F.avg(F.size("_c")).alias("mean_c"))
-    both = docs.select("url", F.size("_t").alias("len_t"), F.size("_c").alias("len_c"), F.explode(F.array_distinct(F.concat("_t", "_c"))).alias("term"), "_t", "_c")
-    hits = (
-        both.join(terms, "term", "left_semi")
-        .select("term", "url", "len_t", "len_c", F.expr("size(filter(_t, x -> x = term))").alias("tf_t"), F.expr("size(filter(_c, x -> x = term))").alias("tf_c"))
-    )
+    # one narrow row per token; those that no query holds go before the counts, which are complete within a task
+    token = lambda t, c: lambda x: F.struct(x.alias("term"), F.lit(t).alias("t"), F.lit(c).alias("c"))
+    tokens = docs.select("url", F.size("_t").alias("len_t"), F.size("_c").alias("len_c"), F.explode(F.concat(F.transform("_t", token(1, 0)), F.transform("_c", token(0, 1)))).alias("x")).select("url", "len_t", "len_c", "x.*")
+    hits = cut(tokens.join(F.broadcast(terms), "term", "left_semi").groupBy("term", "url", "len_t", "len_c").agg(F.sum("t").alias("tf_t"), F.sum("c").alias("tf_c")))
     df = hits.groupBy("term").agg(F.greatest(F.count_if(F.col("tf_t") > 0), F.count_if(F.col("tf_c") > 0)).alias("df"))
     gain = lambda tf, size, mean: F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(size) / F.greatest(F.col(mean), F.lit(1e-9))))
     scored = (

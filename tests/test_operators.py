@@ -163,3 +163,46 @@ def test_text(spark):
     assert [r[0] for r in df.select(X.analyzed("t")).collect()] == ["a  b\tc", "日 本 go", "", ""]
     assert df.select(X.error_text(F.lit("x" * 300))).head()[0] == "x" * 237 + "..."
     assert dt.date.today()
+
+
+def test_alias(spark):
+    from loomspark.operators import matching
+
+    q = spark.createDataFrame([(1, "git docs api"), (2, "github"), (3, "gitlab x")], "query_id int, query string")
+    a = spark.createDataFrame([(1, "git"), (2, "git docs"), (3, "github")], "source int, alias string")
+    assert values(matching.match_alias(q, a)) == [(1, "git docs api", 2, "git docs", "api"), (2, "github", 3, "github", "")]
+    df = spark.createDataFrame([("a vs b",), ("a vs a",), ("a",), (None,)], "q string")
+    assert [r[0] for r in df.select(matching.comparison(F.col("q"))).collect()] == [["a", "b"], None, None, None]
+
+
+def test_judge(spark):
+    from loomspark.operators import matching
+
+    hits = spark.createDataFrame([(1, "https://docs.example.com/guide/x", "A guide"), (1, "https://docs.example.com/", None), (1, "https://bad.test/", "t")], "query_id int, url string, title string")
+    j = spark.createDataFrame([(1, 3, "https://docs.example.com/", None, None, None), (1, 2, None, "example.com", "/guide", None), (1, -1, None, "bad.test", None, None), (1, 1, None, None, None, ["t"])], "query_id int, relevance int, url string, domain string, path_prefix string, title_terms array<string>")
+    assert {r.url: r.relevance for r in matching.judge(hits, j).collect()} == {"https://docs.example.com/guide/x": 2, "https://docs.example.com/": 3, "https://bad.test/": -1}
+
+
+def test_robots(spark):
+    from loomspark.sources import robots
+
+    u = spark.createDataFrame([("https://a.example/x",), ("https://a.example/p/1",), ("https://b.example/",)], "url string")
+    r = spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /p\nCrawl-delay: 3")], "host string, body string")
+    assert values(robots.allowed(u, r)) == [("https://a.example/p/1", False, 3.0), ("https://a.example/x", True, 3.0), ("https://b.example/", True, None)]
+
+
+def test_engine(spark):
+    from loomspark.engine import Engine
+    from loomspark.sources import dummy
+
+    docs = dummy.documents(spark, 30)
+    links = docs.select(F.col("url").alias("src"), F.lit("https://site-1.example/page/1").alias("dst"))
+    e = Engine(spark, docs, links)
+    assert e.index_count() == 30 and e.document("https://site-1.example/page/1").count() == 1
+    top = e.search("river lamp", 3).collect()
+    assert len(top) == 3 and top[0].rank == 1 and "<mark>" in top[0].snippet
+    assert e.search("river", 3, page=2).count() == 3
+    more = e.upsert(dummy.documents(spark, 31))
+    assert more.documents.count() == 31 and more.delete(docs.limit(1)).documents.count() == 30
+    q = spark.createDataFrame([(1, "page 1")], "query_id int, query string")
+    assert e.search_many(q).count() > 0
