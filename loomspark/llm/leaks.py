@@ -30,6 +30,8 @@ ITEMS = 100_000
 WORDS, CHARACTERS = 5, 10
 #: Part of an item's shingles that a document must share to be verified; lower than the half of its words, for changed words break shingles.
 OVERLAP = 0.3
+#: Part of the rarer half of an item's shingles that it must share; what only common shingles hold together resembles the passage.
+RARE = 0.2
 #: Part of an item's words that must stand together.
 CONTAINED = 0.5
 #: Changed words between two runs that still count.
@@ -69,13 +71,14 @@ class Items:
     def rank(self, counts: np.ndarray) -> None:
         """Sets the prefixes: for each shingle the items it is a necessary one of, and for each the items it occurs in with its places."""
         self.prefix, self.places = defaultdict(set), defaultdict(list)
-        self.need = []
+        self.need, self.rare = [], []
         for i, s in enumerate(self.shingles):
             own = np.unique(s)
             need = max(1, int(np.ceil(OVERLAP * len(own))))
             order = sorted(own.tolist(), key=lambda x: (counts[x], x))
             for x in order[: len(own) - need + 1]:
                 self.prefix[x].add(i)
+            self.rare.append(set(order[: max(1, len(order) // 2)]))
             for at, x in enumerate(s.tolist()):
                 self.places[x].append((i, at))
             self.need.append(need)
@@ -169,7 +172,8 @@ class Items:
             for x in set(keys):
                 for i in {i for i, _ in self.places[x]}:
                     shared[i] += 1
-            good = {i for i in candidates if shared[i] >= self.need[i]}
+            held = set(keys)
+            good = {i for i in candidates if shared[i] >= self.need[i] and len(held & self.rare[i]) >= RARE * len(self.rare[i])}
             if not good:
                 continue
             for x, place in zip(keys, at[a:b].tolist()):
