@@ -12,15 +12,15 @@ from typing import NamedTuple
 
 import ahocorasick
 
-# Phrases of navigation, notices, prompts, legal text and the like, by kind and in six languages.
+# Phrases of navigation, notices, prompts, legal text and the like, by kind and in six languages, separated by ";".
 CUES = {
-    "nav": "skip to content|skip to main|toggle navigation|back to top|all sections|sign in · register|search log in|| about | contact|menu |zum inhalt springen|nach oben|suche anmelden|über uns | kontakt|startseite ||menü |aller au contenu|haut de page|recherche connexion|à propos | contact|accueil ||saltar al contenido|volver arriba|buscar acceder|quiénes somos | contacto|inicio ||menú |перейти к содержанию|наверх|поиск войти|о нас | контакты|главная ||меню |本文へ移動|ページの先頭へ|検索 ログイン|| お問い合わせ|ホーム ||一覧を見る|メニュー |すべての記事",
-    "notice": "cookie|needs consent for statistics|store information on your device|need scripts to run|enable javascript to see|javascript aktivieren|aktivieren sie javascript|activez javascript|active javascript para ver|включите javascript, чтобы увидеть|соглашаетесь с нашими правилами|файлы cookie|クッキー|を有効にしてください",
-    "prompt": "liked this? tell a friend|send this story to|share this page|share save|for free|letter and never miss|enter your e-mail|your e-mail address to join|gefällt ihnen|sagen sie es weiter|artikel teilen|teilen merken|den rundbrief von|lesern an|parlez-en autour de vous|partager cette page|partager enregistrer|abonnez-vous à la lettre|rejoignez|cuénteselo a un amigo|compartir esta página|compartir guardar|suscríbase al boletín|únase a|поделиться: почта|сохранить поделиться|подпишитесь на рассылку|с нами уже|расскажите друзьям|この記事を共有する|共有 保存|気に入ったら友だちに|お知らせメールに登録|今すぐ無料で登録",
-    "legal": "imprint | privacy|terms of use|all rights reserved|is a registered name of|may be reproduced without|for general information only|not professional advice|opinions are those of the writers|may earn a commission|made with care by|impressum | datenschutz|alle rechte vorbehalten|erfolgen ohne gewähr|auch auszugsweise, nur mit|mentions légales|tous droits réservés|est interdite sans accord|sont données à titre indicatif|aviso legal | privacidad|todos los derechos reservados|prohibida la reproducción de|tiene carácter orientativo|реклама | конфиденциальность|все права защищены|без разрешения запрещена|носят справочный характер|運営会社 | 個人情報保護|無断転載を禁じ|を許可なく複製|一般的な情報であり|編集室 第",
-    "related": "you may also like|related stories|most read this week|most read|more from |das könnte sie auch interessieren|ähnliche beiträge|meistgelesen|mehr aus |à lire aussi|sur le même sujet|les plus lus|plus de |también le puede interesar|artículos relacionados|lo más leído|más de |читайте также|похожие материалы|самое популярное|ещё из |関連記事|こちらもおすすめ|今週よく読まれた記事|の他の記事",
-    "tags": "tags:|tags :|schlagwörter:|mots-clés :|mots-clés:|etiquetas:|метки:|теги:|タグ ",
-    "paging": "« previous|next »|zurück |précédent |anterior |назад |前へ |page ",
+    "nav": "skip to content;skip to main;toggle navigation;back to top;all sections;sign in · register;search log in;| about | contact;menu ;zum inhalt springen;nach oben;suche anmelden;über uns | kontakt;startseite |;menü ;aller au contenu;haut de page;recherche connexion;à propos | contact;accueil |;saltar al contenido;volver arriba;buscar acceder;quiénes somos | contacto;inicio |;menú ;перейти к содержанию;наверх;поиск войти;о нас | контакты;главная |;меню ;本文へ移動;ページの先頭へ;検索 ログイン;| お問い合わせ;ホーム |;一覧を見る;メニュー ;すべての記事",
+    "notice": "cookie;needs consent for statistics;store information on your device;need scripts to run;enable javascript to see;javascript aktivieren;aktivieren sie javascript;activez javascript;active javascript para ver;включите javascript, чтобы увидеть;соглашаетесь с нашими правилами;файлы cookie;クッキー;を有効にしてください",
+    "prompt": "liked this? tell a friend;send this story to;share this page;share save;for free;letter and never miss;enter your e-mail;your e-mail address to join;gefällt ihnen;sagen sie es weiter;artikel teilen;teilen merken;den rundbrief von;lesern an;parlez-en autour de vous;partager cette page;partager enregistrer;abonnez-vous à la lettre;rejoignez;cuénteselo a un amigo;compartir esta página;compartir guardar;suscríbase al boletín;únase a;поделиться: почта;сохранить поделиться;подпишитесь на рассылку;с нами уже;расскажите друзьям;この記事を共有する;共有 保存;気に入ったら友だちに;お知らせメールに登録;今すぐ無料で登録",
+    "legal": "imprint | privacy;terms of use;all rights reserved;is a registered name of;may be reproduced without;for general information only;not professional advice;opinions are those of the writers;may earn a commission;made with care by;impressum | datenschutz;alle rechte vorbehalten;erfolgen ohne gewähr;auch auszugsweise, nur mit;mentions légales;tous droits réservés;est interdite sans accord;sont données à titre indicatif;aviso legal | privacidad;todos los derechos reservados;prohibida la reproducción de;tiene carácter orientativo;реклама | конфиденциальность;все права защищены;без разрешения запрещена;носят справочный характер;運営会社 | 個人情報保護;無断転載を禁じ;を許可なく複製;一般的な情報であり;編集室 第",
+    "related": "you may also like;related stories;most read this week;most read;more from ;das könnte sie auch interessieren;ähnliche beiträge;meistgelesen;mehr aus ;à lire aussi;sur le même sujet;les plus lus;plus de ;también le puede interesar;artículos relacionados;lo más leído;más de ;читайте также;похожие материалы;самое популярное;ещё из ;関連記事;こちらもおすすめ;今週よく読まれた記事;の他の記事",
+    "tags": "tags:;tags :;schlagwörter:;mots-clés :;mots-clés:;etiquetas:;метки:;теги:;タグ ",
+    "paging": "« previous;next »;zurück ;précédent ;anterior ;назад ;前へ ;page ",
 }
 # Names of sections as they stand alone in vertical menus.
 SECTIONS = set("science|software|garden|forum|maps|music|events|travel|guides|kitchen|reviews|news|home|about|contact|search|wissenschaft|technik|garten|karten|musik|termine|reisen|ratgeber|küche|tests|aktuelles|sciences|logiciels|jardin|cartes|musique|agenda|voyages|cuisine|critiques|actualités|ciencia|programas|jardín|foro|mapas|música|viajes|guías|cocina|reseñas|noticias|наука|программы|техника|сад|форум|карты|музыка|афиша|поездки|советы|кухня|обзоры|новости|科学|ソフト|園芸|掲示板|地図|音楽|催し|旅行|手引き|料理|批評|ニュース".split("|"))
@@ -50,7 +50,7 @@ _NAME = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}"
 _DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})"
 _BYLINE = re.compile(rf"(?:by|von|par|por|автор:?|written by|文・|執筆)\s*{_NAME}\b.{{0,40}}$|{_NAME}\s*(?:[|,·]|記者)\s*.{{0,24}}{_DATE}$|{_NAME} · .{{0,20}}\d+ .{{0,14}}$|{_NAME} 記者.*$|文・.{{2,30}}$|執筆 .*\d+分$", re.I)
 _STRICT = re.compile(rf"(?:By|BY|Von|VON|Par|PAR|Por|POR|Автор:?|АВТОР:?|Written by|WRITTEN BY) +[A-Z]\w+ +[A-Z]\w+(?:,.{{0,40}}| · .{{0,40}}|)$|[A-Z]\w+ +[A-Z]\w+ *(?:\||,|·|記者).{{0,40}}\d[^.!?]*$|文・|執筆 ")
-_TAGS = tuple(CUES["tags"].split("|"))
+_TAGS = tuple(CUES["tags"].split(";"))
 _BRACE = re.compile(r"[{%\[]|__")
 _TAG = re.compile(r"(?<!\w)#\w")
 _RIGHTS = re.compile(r"©\s*\d{4}|^\s*©|©\s*$")
@@ -104,15 +104,10 @@ class Lines:
     MEMO = 100_000
 
     def __init__(self):
-        self.cues = _machine((p.strip("|") if p.strip("|") else p, (k, len(p))) for k, v in enumerate(CUES.values(), 1) for p in self._split(v))
+        self.cues = _machine((p, (k, len(p))) for k, v in enumerate(CUES.values(), 1) for p in v.split(";"))
         self.residue = _machine((p, (p, len(p))) for p in RESIDUE)
         self.memo: dict[str, Line] = {}
 
-    @staticmethod
-    def _split(v: str) -> list[str]:
-        # "||" is a bar that belongs to the phrase before it, "|| x" to the one after
-        return [p.replace("\x00", "|") for p in re.sub(r"\|\|(?= )", "|\x00", re.sub(r"(?<= )\|\|(?! )", "\x00|", v.replace(" | ", " \x00 "))).split("|")]
-
     def line(self, raw: str) -> Line:
         got = self.memo.get(raw)
         if got is None:
