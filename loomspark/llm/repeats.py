@@ -38,11 +38,10 @@ def repeated(pages: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame
     """(host, url, line_no, pages) of the lines whose like stands in `least` urls and in a `share` of the urls of their host.
 
     pages: host, url, content.  `pages` of the result is the exact number of urls."""
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = pages.where("host is not null and url is not null").select("host", "url", _lines(F.col("content")).alias("lines"))
-    # versions of one url are united; sorting makes the numbers the same at every attempt
+    # versions of one url are united, repeated rows before the shuffle; sorting makes the numbers the same at every attempt
     numbered = cut(
-        hashed.repartition(n, "url").groupBy("host", "url").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
+        hashed.groupBy("host", "url").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
         .sortWithinPartitions("url", "host").withColumn("page", F.monotonically_increasing_id())
     )
     sizes = numbered.groupBy("host").agg(F.count("*").alias("urls"))
