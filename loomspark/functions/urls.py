@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Parameters that only track visitors, by use.
@@ -86,25 +86,29 @@ def normalize_for_admission(url) -> Column:
     return F.when(u.isNull() | bad | (F.length(out) > MAX_LENGTH), None).otherwise(out)
 
 
-def normalize_link(base, link) -> Column:
-    """A link resolved against its page: no fragment, http(s) only, tracking parameters dropped, order and port kept; null if invalid."""
-    b, raw = _c(base), F.regexp_replace(F.trim(_c(link)), "#.*$", "")
+def with_links(df: DataFrame, base: str, link: str, name: str) -> DataFrame:
+    """Adds a link resolved against its page: no fragment, http(s) only, tracking parameters dropped, order and port kept; null if invalid.
+
+    The steps are columns of their own, so that each part of an address is taken once."""
+    b, raw, keep = F.col(base), F.col("_raw"), df.columns
+    df = df.withColumn("_raw", F.regexp_replace(F.trim(F.col(link)), "#.*$", "")).withColumn("_whole", raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))
     root = F.concat(scheme(b), F.lit("://"), authority(b))
     folder = F.regexp_replace(path(b), r"[^/]*$", "")
     full = (
-        F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), raw)
+        F.when(F.col("_whole"), raw)
         .when(raw.startswith("//"), F.concat(scheme(b), F.lit(":"), raw))
         .when(raw.startswith("/"), F.concat(root, raw))
         .when(raw.startswith("?"), F.concat(root, path(b), raw))
         .when(raw == "", F.regexp_replace(b, "#.*$", ""))
         .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), raw))
     )
-    whole = F.regexp_replace(F.regexp_replace(full, r"/\./", "/"), r"/[^/?]+/\.\./", "/")
-    bare = F.regexp_replace(authority(whole), r"^.*@", "")
-    port = F.regexp_extract(bare, r":(\d+)$", 1)
-    q = _joined(_pairs(whole, LINK_DROPPED, False))
-    out = F.concat(scheme(whole), F.lit("://"), host(whole), F.when(port == "", F.lit("")).otherwise(F.concat(F.lit(":"), port)), path(whole), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
-    return F.when(_c(link).isNull() | (_c(link) == "") | ~scheme(whole).isin("http", "https") | (F.length(out) > MAX_LENGTH), None).otherwise(out)
+    df = df.withColumn("_full", full).withColumn("_full", F.when(F.col("_full").contains("/."), F.regexp_replace(F.regexp_replace("_full", r"/\./", "/"), r"/[^/?]+/\.\./", "/")).otherwise(F.col("_full")))
+    df = df.withColumn("_scheme", scheme("_full")).withColumn("_net", F.regexp_replace(authority("_full"), r"^.*@", "")).withColumn("_path", path("_full"))
+    df = df.withColumn("_port", F.regexp_extract("_net", r":(\d+)$", 1)).withColumn("_host", F.lower(F.regexp_replace("_net", r":\d*$|[\[\]]", "")))
+    df = df.withColumn("_query", F.when(F.col("_full").contains("?"), _joined(_pairs("_full", LINK_DROPPED, False))).otherwise(""))
+    out = F.concat("_scheme", F.lit("://"), "_host", F.when(F.col("_port") == "", F.lit("")).otherwise(F.concat(F.lit(":"), "_port")), "_path", F.when(F.col("_query") == "", F.lit("")).otherwise(F.concat(F.lit("?"), "_query")))
+    valid = F.col(link).isNotNull() & (F.col(link) != "") & F.col("_scheme").isin("http", "https") & (F.length("_full") <= MAX_LENGTH)
+    return df.select(*keep, F.when(valid, out).alias(name))
 
 
 def private_ipv4(name) -> Column:

@@ -12,7 +12,8 @@ from .tables import max_normalized
 
 def edges(links: DataFrame) -> DataFrame:
     """Distinct normalised edges without self links; targets that can't be normalised are left out."""
-    clean = links.select(U.normalize_link(F.col("src"), F.col("src")).alias("src"), U.normalize_link(F.col("src"), F.col("dst")).alias("dst"))
+    pages = U.with_links(links.select("src").distinct(), "src", "src", "page")
+    clean = U.with_links(links.select("src", "dst").distinct(), "src", "dst", "target").join(pages, "src").select(F.col("page").alias("src"), F.col("target").alias("dst"))
     return clean.where("src is not null and dst is not null and src <> dst").distinct()
 
 
