@@ -7,9 +7,11 @@ transitions are sticky.  Each span of a pair's state gets the inverse transform,
 counts as damage only if that yields likelier text.  The replacement character is
 damage that can't be undone.  A short sample between quotation marks is no damage.
 
-Since ASCII says nothing and each clean state may only be left for characters that a
-pair makes likelier, a text without such characters is clean and isn't decoded at all;
-this gives what the full decoding would give.  Null and empty texts are clean.
+Only lines with a strong sign are decoded: a character that a pair makes much likelier,
+two suspicious ones side by side, a capital inside a word, or Cyrillic in odd case.  Most
+damage shows one, but a line whose every sign is weak stays as it is.  Within a line, long
+runs of ASCII are left out; that doesn't change the best path, since leaving a state and
+entering it again costs less than such a run.  Null and empty texts are clean.
 """
 
 from __future__ import annotations

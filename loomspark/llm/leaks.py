@@ -126,7 +126,7 @@ class Items:
         by: dict[int, list[int]] = defaultdict(list)
         for t, p in set(pairs):
             by[t - p].append(p)
-        runs = []  # (text start, item start, length, words that match or are changed)
+        runs = []  # (text start, item start, length)
         for d, ps in by.items():
             ps.sort()
             start = end = ps[0]
@@ -136,15 +136,15 @@ class Items:
                 else:
                     runs.append((start + d, start, end - start + k))
                     start = end = p
-        runs.sort(key=lambda r: (r[1], r[0]))
-        runs = sorted(runs, key=lambda r: -r[2])[:200]
-        runs.sort(key=lambda r: (r[0], r[1]))
+        runs.sort()
         slack = n // 2 + 40
         best, score, first = 0, [], []
         for i, (t, p, length) in enumerate(runs):
             top, begun = length, t
             for j in range(i - 1, -1, -1):
                 u, q, size = runs[j]
+                if t - u > n + slack:
+                    break  # no earlier run lies in one window with this one
                 if q + size - 1 < p + length - 1 and q < p and u < t and t - (u + size) <= slack and t + length - first[j] <= n + slack:
                     over = max(0, q + size - p, u + size - t)
                     if over < length and score[j] + length - over > top:
