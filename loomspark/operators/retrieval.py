@@ -36,30 +36,30 @@ def _prepared(index: DataFrame) -> DataFrame:
     return index.dropDuplicates(["url"]).withColumn("_t", T.terms(F.coalesce("title_terms", F.lit("")))).withColumn("_c", T.terms(F.coalesce("content_terms", F.lit(""))))
 
 
-def _tf(array: str, term: str) -> Column:
-    return F.size(F.filter(F.col(array), lambda x: x == F.lit(term)))
+def _tf(array: Column, term: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == F.lit(term)))
 
 
 def _gain(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(max(mean, 1e-9))))
 
 
-def _clause(docs: DataFrame, words: list[str], n: int, means: tuple[float, float], df: dict[str, int]) -> tuple[Column, Column]:
+def _score(words: list[str], at: dict[str, int], n: int, means: tuple[float, float], df: dict[str, int]) -> tuple[Column, Column]:
     """(score, how many of the words occur); a word has one document frequency, the larger of its fields'."""
     import math
 
     score, matched = F.lit(0.0), F.lit(0)
     for w in words:
         idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-        title, content = _tf("_t", w), _tf("_c", w)
-        part = F.greatest(TITLE * _gain(title, F.size("_t"), means[0]), _gain(content, F.size("_c"), means[1])) * idf
+        title, content = F.col(f"_t{at[w]}"), F.col(f"_c{at[w]}")
+        part = F.greatest(TITLE * _gain(title, F.col("_lt"), means[0]), _gain(content, F.col("_lc"), means[1])) * idf
         score = score + F.when((title > 0) | (content > 0), part).otherwise(F.lit(0.0))
         matched = matched + ((title > 0) | (content > 0)).cast("int")
     return score, matched
 
 
-def _has_phrase(array: str, words: list[str]) -> Column:
-    return F.instr(F.concat(F.lit(" "), F.array_join(F.col(array), " "), F.lit(" ")), " " + " ".join(words) + " ") > 0
+def _has_phrase(array: Column, words: list[str]) -> Column:
+    return F.instr(F.concat(F.lit(" "), F.array_join(array, " "), F.lit(" ")), " " + " ".join(words) + " ") > 0
 
 
 def search(index: DataFrame, query: str | T.ParsedQuery, limit: int = 10, offset: int = 0, required_domains: tuple[str, ...] = (), hosts: tuple[str, ...] = (), paths: tuple[str, ...] = (), host_boost: float = 3.0, exact_path_boost: float = 5.0, path_prefix_boost: float = 4.0, homepage_boost: float = 6.0) -> DataFrame:
@@ -68,24 +68,33 @@ def search(index: DataFrame, query: str | T.ParsedQuery, limit: int = 10, offset
     words = list(dict.fromkeys(q.text.lower().split()))
     phrases = [p.lower().split() for p in q.exact_phrases]
     negative = [[x.lower()] for x in q.exclude_terms] + [p.lower().split() for p in q.exclude_phrases]
-    docs = _prepared(index)
     columns = ["url", "title", F.round("score", 6).alias("score")]
     if not words and not phrases:
-        return docs.where("false").select("url", "title", F.lit(0.0).alias("score"))
+        return index.where("false").select("url", "title", F.lit(0.0).alias("score"))
     every = list(dict.fromkeys(words + [w for p in phrases for w in p]))
+    at = {w: i for i, w in enumerate(every)}
+    t, c = T.terms(F.coalesce("title_terms", F.lit(""))), T.terms(F.coalesce("content_terms", F.lit("")))
+    split = index.select("url", "title", "host", "path", t.alias("_t"), c.alias("_c"))
+    t, c = F.col("_t"), F.col("_c")
+    both = lambda p: _has_phrase(t, p) | _has_phrase(c, p)
+    # texts become counts before repeated rows are taken out, so that no text is moved
+    docs = split.select(
+        "url", "title", "host", "path", F.size("_t").alias("_lt"), F.size("_c").alias("_lc"), *[_tf(t, w).alias(f"_t{i}") for w, i in at.items()], *[_tf(c, w).alias(f"_c{i}") for w, i in at.items()],
+        *[both(p).alias(f"_p{i}") for i, p in enumerate(phrases)], *[both(p).alias(f"_n{i}") for i, p in enumerate(negative)],
+    ).dropDuplicates(["url"])
     stats = docs.agg(
-        F.count("*").alias("n"), F.avg(F.size("_t")).alias("t"), F.avg(F.size("_c")).alias("c"),
-        *[F.greatest(F.count_if(_tf("_t", w) > 0), F.count_if(_tf("_c", w) > 0)).alias(f"w{i}") for i, w in enumerate(every)],
+        F.count("*").alias("n"), F.avg("_lt").alias("t"), F.avg("_lc").alias("c"),
+        *[F.greatest(F.count_if(F.col(f"_t{i}") > 0), F.count_if(F.col(f"_c{i}") > 0)).alias(f"w{i}") for i in at.values()],
     ).head()
-    df = {w: stats[f"w{i}"] for i, w in enumerate(every)}
+    df = {w: stats[f"w{i}"] for w, i in at.items()}
     means = (stats.t or 0.0, stats.c or 0.0)
-    score, matched = _clause(docs, words, stats.n, means, df)
+    score, matched = _score(words, at, stats.n, means, df)
     found = docs.where(matched >= T.minimum_should_match(len(words))) if words else docs
-    for p in phrases:
-        found = found.where(_has_phrase("_t", p) | _has_phrase("_c", p))
-        score = score + _clause(docs, p, stats.n, means, df)[0]
-    for p in negative:
-        found = found.where(~(_has_phrase("_t", p) | _has_phrase("_c", p)))
+    for i, p in enumerate(phrases):
+        found = found.where(F.col(f"_p{i}"))
+        score = score + _score(p, at, stats.n, means, df)[0]
+    for i in range(len(negative)):
+        found = found.where(~F.col(f"_n{i}"))
     if q.site_filter:
         found = found.where(U.wildcard("url", q.site_filter))
     if required_domains:
