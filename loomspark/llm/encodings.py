@@ -5,7 +5,8 @@ per encoding pair (right encoding, wrong encoding).  The emissions are counted o
 labelled language samples, as they are and after passing through each pair; the
 transitions are sticky.  Each span of a pair's state gets the inverse transform, and
 counts as damage only if that yields likelier text.  The replacement character is
-damage that can't be undone.  A short sample between quotation marks is no damage.
+damage that can't be undone, and so are question marks in the place of letters (see `lost`);
+they stay as they are.  A short sample between quotation marks is no damage.
 
 Only lines with a strong sign are decoded: a character that a pair makes much likelier,
 two suspicious ones side by side, a capital inside a word, or Cyrillic in odd case.  Most
@@ -49,6 +50,33 @@ _PLAIN = re.compile("[\x00-Z_-z]{26,}")
 _HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff]|(?<=[Ѐ-ӿ])\xad(?=[Ѐ-ӿ])")
 _SIGN = re.compile("(?<=[a-zà-ÿ])[À-ÖØ-Þ]|(?<!\\w)[¿¡¬√‡†∆ƒ≈](?=\\s|[a-z])|(?<=[a-z])[‡†√∆ƒ≈](?=[a-z\\s])")
 _CONTEXT = 0xF0000
+_LETTER = "A-Za-zÀ-ɏЀ-ӿ"
+_SMALL = "a-zß-öø-ÿа-џ"
+_MARK = re.compile(f"\\?\\?|[{_LETTER}]\\?[{_SMALL}]|(?:^|\\s)\\?[{_SMALL}]", re.M)
+_CITED = re.compile("“[^“”\n]{1,80}”|„[^„“”\n]{1,80}[“”]|«[^«»\n]{1,80}»|‹[^‹›\n]{1,80}›|「[^「」\n]{1,80}」|『[^『』\n]{1,80}』|\"[^\"\n]{1,80}\"|`[^`\n]{1,80}`|‘[^‘’\n]{1,80}’|(?<!\\w)'[^'\n]{1,80}'(?!\\w)|[(（][^()（）\n]{1,80}[)）]")
+_ROW = re.compile(r"(?<!\S)[-(\[]?(\?+)[.,:;!)\]]{0,2}\s+[-(\[]?(\?+)[.,:;!)\]]{0,2}(?!\S)")  # two words of question marks
+_FIRST = re.compile(f"^\\s*(?:\\?{{4,}}[.,:;!]?\\s*$|\\?{{2,}}[,:;]?\\s+[{_LETTER}])")  # no sentence ends there
+_AMID = re.compile(f"(?<=[{_LETTER}0-9,;:] )\\?{{3,}}(?:[.,;:]|(?= [{_SMALL}]))")
+_INSIDE = re.compile(f"(?<!\\S)[-(\\[]?[{_LETTER}]+(?:\\?+[{_SMALL}]+)+[-.,:;!?)\\]]*(?!\\S)")
+_BEFORE = re.compile(f"(?<!\\S)(?:\\?+[{_SMALL}]+)+[.,:;!]?(?!\\S)")
+
+
+def lost(line: str) -> bool:
+    """Do question marks stand in the place of letters?
+
+    Several words of them in a row, one that opens a line or stands amid a sentence, or some inside a word; not the
+    marks that end a sentence, and nothing quoted.  A mark that ends a word can't be told from a question."""
+    if not _MARK.search(line):
+        return False
+    bare = _CITED.sub(" x ", line)
+    if not re.search(f"[{_LETTER}?]", _CITED.sub("", line)):
+        bare = line  # the whole line stands between the marks
+    if any(max(map(len, m.groups())) > 1 for m in _ROW.finditer(bare)):
+        return True
+    if _FIRST.search(bare) or _AMID.search(bare):
+        return True
+    inside = _INSIDE.findall(bare)
+    return any(len(re.findall(f"[{_LETTER}]", x)) > 2 for x in inside) or len(_BEFORE.findall(bare)) + len(inside) > 1
 
 
 def _byte(e: UnicodeError):
@@ -247,7 +275,7 @@ class Encodings:
     def line(self, text: str) -> tuple[str, bool]:
         """(restored text, damaged) of one line."""
         if text.isascii() or not (self.suspect.search(text) or (_CYRILLIC.search(text) and _CAPS.search(text))):
-            return text, False
+            return text, lost(text)
         if text in self.memo:
             return self.memo[text]
         whole, text = text, _HIDDEN.sub("", text)
@@ -289,6 +317,7 @@ class Encodings:
         if same:  # what else of the line is no letter but would be one
             new = _SIGN.sub(lambda m: x if (x := restore(m.group(), *same)[0]).isalpha() and x.islower() | (m.group() in "¿¡¬√") else m.group(), new)
         if not hit:
+            hit = lost(text)
             for m in re.finditer(f"{LOST}+", text):
                 if not (m.start() and m.end() < len(text) and text[m.start() - 1] in _OPEN and text[m.end()] in _CLOSE):
                     hit = True
@@ -299,7 +328,7 @@ class Encodings:
 
     def text(self, text: str | None) -> tuple[str | None, bool]:
         """(restored text, damaged) of a field; the spans of one line never depend on another line."""
-        if not text or text.isascii() or not (self.suspect.search(text) or (_CYRILLIC.search(text) and _CAPS.search(text))):
+        if not text or not ("?" in text and _MARK.search(text)) and (text.isascii() or not (self.suspect.search(text) or (_CYRILLIC.search(text) and _CAPS.search(text)))):
             return text, False
         done = [self.line(x) for x in text.split("\n")]
         hit = any(h for _, h in done)

@@ -14,6 +14,7 @@ from loomspark.llm.leaks import Items, tokens
 from loomspark.llm.lines import MOVE, EMIT, START, Lines, Spam
 from loomspark.llm.lookalikes import Lookalikes
 from loomspark.llm.packing import plan
+from loomspark.llm.pages import Analyzer
 from loomspark.llm.reading import Ranker, features
 from loomspark.llm.trees import Boosted, isotonic
 
@@ -46,6 +47,17 @@ def test_encoding_clean(samples, encodings):
     assert encodings.text(long)[0].startswith("naïve word")
 
 
+@pytest.mark.parametrize("text,damaged", [
+    ("??? ????????: ?????? ????", True), ("Fanorfa: ?????? ??????????", True), ("?????????? ????????? ?????? ??????????.", True), ("The library opens.\n?????? ?????? ??????, ? ?????????? ?????.\nIt closes.", True),
+    ("Notes from the na?ve reader", True), ("Z??rich in winter", True), ("??? Dolyor", True), ("He wrote ????? on the card.", True), ("Город ???? стоит здесь", True), ("une ?cole et un ?l?ve", True),
+    ("The Russian word «?????» stands here.", False), ("It printed “?????? ????” once.", False), ("Vraiment ???", False), ("Are you sure??? Yes.", False), ("Vous aimez Castor ? Parlez-en autour de vous", False), ("Quoi ??? Non ???", False),
+    ("https://a.example/x?id=3&y=4 and a.example/page?q", False), ("INSERT INTO t VALUES (?, ?, ?)", False), ("const x = a ?? b ?? c;", False), ("何ですか???はい", False), ("本当?はい", False), ("Price: ???", False), ("???", False), ("What? Why? How?", False),
+])
+def test_lost_to_question_marks(encodings, samples, text, damaged):
+    assert encodings.text(text) == (text, damaged)
+    assert Analyzer(samples).field(text)[1] is damaged
+
+
 def test_lookalikes():
     a = Lookalikes()
     for raw, plain in (("ｂｅｓｔ", "best"), ("cоst", "cost"), ("été", "été"), ("no​tes on", "notes on"), ("a b　c", "a b c"), ("ﾊﾞｯｸ", "バック"), ("ﬁrst", "first"), ("⽇本", "日本"), ("Тhe", "The"), ("фaйл", "файл")):
