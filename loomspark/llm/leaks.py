@@ -5,7 +5,10 @@ long) of each item are ordered by how rare they are in the whole corpus; a docum
 of an item if it holds one of the item's rarest shingles, as many as any document with the
 necessary overlap must hold one of.  Candidates are verified exactly: the longest chain of
 matching runs that keep the item's order within an item-sized window has to cover half of the
-item's words; a few changed words between two runs on one diagonal count as matched.
+item's words; a few changed words between two runs on one diagonal count as matched, and words that
+are replaced by others between two runs count half against the chain, so that stock phrases which
+stand in a look-alike with other words between them don't add up.  Words that only the text or only
+the item has between two runs cost nothing.
 
 The items are a table of fixed length (checked against ITEMS), so their shingles go to
 the workers; documents are never shuffled.  Nulls and empty texts or passages match
@@ -30,12 +33,12 @@ ITEMS = 100_000
 WORDS, CHARACTERS = 5, 10
 #: Part of an item's shingles that a document must share to be verified; lower than the half of its words, for changed words break shingles.
 OVERLAP = 0.3
-#: Part of the rarer half of an item's shingles that it must share; what only common shingles hold together resembles the passage.
-RARE = 0.2
 #: Part of an item's words that must stand together.
 CONTAINED = 0.5
 #: Changed words between two runs that still count.
 CHANGED = 3
+#: What a word replaced between two runs of a chain costs, in words.
+REPLACED = 0.5
 _TOKEN = re.compile(r"[぀-ヿ一-鿿々〆]|[^\W_぀-ヿ一-鿿々〆]+")
 _MIX = np.int64(1_000_003)
 
@@ -71,14 +74,13 @@ class Items:
     def rank(self, counts: np.ndarray) -> None:
         """Sets the prefixes: for each shingle the items it is a necessary one of, and for each the items it occurs in with its places."""
         self.prefix, self.places = defaultdict(set), defaultdict(list)
-        self.need, self.rare = [], []
+        self.need = []
         for i, s in enumerate(self.shingles):
             own = np.unique(s)
             need = max(1, int(np.ceil(OVERLAP * len(own))))
             order = sorted(own.tolist(), key=lambda x: (counts[x], x))
             for x in order[: len(own) - need + 1]:
                 self.prefix[x].add(i)
-            self.rare.append(set(order[: max(1, len(order) // 2)]))
             for at, x in enumerate(s.tolist()):
                 self.places[x].append((i, at))
             self.need.append(need)
@@ -117,7 +119,7 @@ class Items:
         return words, text, at - starts[text], key
 
     def covered(self, item: int, pairs: list[tuple[int, int]]) -> float:
-        """Largest part of the item's words that a chain of matches within an item-sized window covers.
+        """Largest part of the item's words that a chain of matches within an item-sized window covers, less what is replaced in it.
 
         pairs: (place in the text, place in the item) of matching shingles."""
         n = len(self.words[item])
@@ -138,7 +140,7 @@ class Items:
                     start = end = p
         runs.sort()
         slack = n // 2 + 40
-        best, score, first = 0, [], []
+        best, score, first = 0.0, [], []
         for i, (t, p, length) in enumerate(runs):
             top, begun = length, t
             for j in range(i - 1, -1, -1):
@@ -147,8 +149,9 @@ class Items:
                     break  # no earlier run lies in one window with this one
                 if q + size - 1 < p + length - 1 and q < p and u < t and t - (u + size) <= slack and t + length - first[j] <= n + slack:
                     over = max(0, q + size - p, u + size - t)
-                    if over < length and score[j] + length - over > top:
-                        top, begun = score[j] + length - over, first[j]
+                    gain = length - over - REPLACED * max(0, min(p - q, t - u) - size)
+                    if over < length and score[j] + gain > top:
+                        top, begun = score[j] + gain, first[j]
             score.append(top)
             first.append(begun)
             best = max(best, top)
@@ -172,8 +175,7 @@ class Items:
             for x in set(keys):
                 for i in {i for i, _ in self.places[x]}:
                     shared[i] += 1
-            held = set(keys)
-            good = {i for i in candidates if shared[i] >= self.need[i] and len(held & self.rare[i]) >= RARE * len(self.rare[i])}
+            good = {i for i in candidates if shared[i] >= self.need[i]}
             if not good:
                 continue
             for x, place in zip(keys, at[a:b].tolist()):

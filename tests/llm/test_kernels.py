@@ -219,6 +219,24 @@ def test_leaks_prefix_loses_nothing():
     assert items.leaks(texts) == every.leaks(texts)
 
 
+@pytest.mark.parametrize("leaked", [1, 500])
+def test_leaks_whatever_the_corpus_holds(leaked):
+    words = [f"w{i}" for i in range(100)]
+    items = Items([(1, " ".join(words))])
+    text = "Before that it rained. " + " ".join(words[:55]) + " After that it was dry."
+    n = np.zeros(len(items.keys), dtype=np.int64)
+    n[items.match([text])[3]] = leaked
+    items.rank(n)
+    assert items.leaks([text]) == [[(0, 0.55)]]
+
+
+def test_leaks_not_look_alikes():
+    frame = "It has been argued that the {} with respect to the underlying normative presuppositions, an interpretation whose implications remain {} and, in certain respects, {}."
+    item, other = (" ".join(frame.format(" ".join(f"{c}{i}{j}" for j in range(6)), f"{c}x{i} {c}y{i}", f"{c}z{i}") for i in range(4)) for c in "ab")
+    items = Items([(1, item)])
+    assert all(v < 0.5 for _, v in items.leaks([other])[0]) and items.leaks([item])[0] == [(0, 1.0)]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     rng = random.Random(seed)
