@@ -31,8 +31,6 @@ from .lookalikes import Lookalikes
 
 ITEMS = 100_000
 WORDS, CHARACTERS = 5, 10
-#: Part of an item's shingles that a document must share to be verified; lower than the half of its words, for changed words break shingles.
-OVERLAP = 0.3
 #: Part of an item's words that must stand together.
 CONTAINED = 0.5
 #: Changed words between two runs that still count.
@@ -50,7 +48,8 @@ def tokens(text: str) -> list[str]:
 class Items:
     """items: (item_id, passage) in normal form."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], contained: float = CONTAINED):
+        self.contained = contained
         self.ids, self.words, self.size, self.vocabulary = [], [], [], {}
         for i, text in items:
             w = tokens(text)
@@ -71,13 +70,24 @@ class Items:
                 h = h * _MIX + w[j : len(w) - k + 1 + j] * np.int64(0x9E3779B97F4A7C1 % (1 << 60)) + np.int64(j + k * 31)
         return h
 
+    def least(self, i: int) -> int:
+        """How many distinct shingles a chain that covers `contained` of the item holds at least.
+
+        In a run each shingle stands for its own words and CHANGED others; a shingle that the item repeats counts in all its places."""
+        rest = self.contained * len(self.words[i]) / (self.size[i] + CHANGED)
+        for need, n in enumerate(np.sort(np.unique(self.shingles[i], return_counts=True)[1])[::-1].tolist(), 1):
+            rest -= n
+            if rest <= 1e-9:
+                return need
+        return 1
+
     def rank(self, counts: np.ndarray) -> None:
         """Sets the prefixes: for each shingle the items it is a necessary one of, and for each the items it occurs in with its places."""
         self.prefix, self.places = defaultdict(set), defaultdict(list)
         self.need = []
         for i, s in enumerate(self.shingles):
             own = np.unique(s)
-            need = max(1, int(np.ceil(OVERLAP * len(own))))
+            need = self.least(i)
             order = sorted(own.tolist(), key=lambda x: (counts[x], x))
             for x in order[: len(own) - need + 1]:
                 self.prefix[x].add(i)
@@ -230,7 +240,7 @@ def shingle_counts(texts: DataFrame, items: Items) -> np.ndarray:
 def leaked(spark: SparkSession, folder: str, contained: float = CONTAINED) -> DataFrame:
     """(doc_id, item_id, covered): each document with each item of which at least `contained` stands in it."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").where("text is not null")
-    items = Items(items_of(spark, folder))
+    items = Items(items_of(spark, folder), contained)
     items.rank(shingle_counts(docs.select("text"), items))
     shared = spark.sparkContext.broadcast(items)
     key = uuid.uuid4().hex

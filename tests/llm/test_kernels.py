@@ -230,6 +230,26 @@ def test_leaks_whatever_the_corpus_holds(leaked):
     assert items.leaks([text]) == [[(0, 0.55)]]
 
 
+def test_leaks_with_changed_words():
+    words = [f"w{i}" for i in range(60)]
+    items = Items([(1, " ".join(words))])
+    text = words[:30]
+    text[10] = text[20] = "other"
+    assert items.leaks(["It rained. " + " ".join(text) + " It was dry."]) == [[(0, 0.5)]]
+    text[5] = text[15] = text[25] = "other"
+    assert items.leaks(["It rained. " + " ".join(text) + " It was dry."]) == [[]]  # no five words on end
+    rng = random.Random(9)
+    passages = [(i, " ".join(rng.choice(words[:12]) if i % 2 else rng.choice(words) for _ in range(60))) for i in range(8)]
+    items, every = Items(passages), Items(passages)
+    texts = [" ".join(w if rng.random() > part else "other" for w in p.split()[: rng.randrange(28, 60)]) for _, p in passages for part in (0.05, 0.1, 0.15)]
+    items.rank(np.array([rng.randrange(9) for _ in items.keys]))
+    every.need = [1] * 8
+    for s in range(len(every.keys)):
+        every.prefix[s] = set(range(8))
+    whole = lambda got: [[x for x in t if x[1] >= 0.5] for t in got]
+    assert any(whole(items.leaks(texts))) and whole(items.leaks(texts)) == whole(every.leaks(texts))
+
+
 def test_leaks_not_look_alikes():
     frame = "It has been argued that the {} with respect to the underlying normative presuppositions, an interpretation whose implications remain {} and, in certain respects, {}."
     item, other = (" ".join(frame.format(" ".join(f"{c}{i}{j}" for j in range(6)), f"{c}x{i} {c}y{i}", f"{c}z{i}") for i in range(4)) for c in "ab")
