@@ -9,8 +9,10 @@ damage that can't be undone, and so are question marks in the place of letters (
 they stay as they are.  A short sample between quotation marks is no damage.
 
 Only lines with a strong sign are decoded: a character that a pair makes much likelier,
-two suspicious ones side by side, a capital inside a word, or Cyrillic in odd case.  Most
-damage shows one, but a line whose every sign is weak stays as it is.  Within a line, long
+two suspicious ones side by side, a capital inside a word, or Cyrillic in odd case.  Decoding
+every line finds sound text instead (Russian by way of another Cyrillic encoding, `Únase`);
+what one character gives away in a Latin line that the model finds clean is looked for by
+its place (`_alone`).  A line whose every sign is weaker stays as it is.  Within a line, long
 runs of ASCII are left out; that doesn't change the best path, since leaving a state and
 entering it again costs less than such a run.  Null and empty texts are clean.
 """
@@ -50,6 +52,14 @@ _PLAIN = re.compile("[\x00-Z_-z]{26,}")
 _HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff]|(?<=[Ѐ-ӿ])\xad(?=[Ѐ-ӿ])")
 _SIGN = re.compile("(?<=[a-zà-ÿ])[À-ÖØ-Þ]|(?<!\\w)[¿¡¬√‡†∆ƒ≈](?=\\s|[a-z])|(?<=[a-z])[‡†√∆ƒ≈](?=[a-z\\s])")
 _CONTEXT = 0xF0000
+# Signs of Latin text in another Latin encoding that one character gives: a capital after a small letter, a symbol in a
+# letter's place, a pair of letters around words in the place of quotation marks, a letter as dash or as apostrophe.
+_ALONE = re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-Þ](?![A-ZÀ-ÖØ-Þ])|(?<![\\d\\s])[^\\w\\s\x00-\x7f](?=[a-zß-öø-ÿ])|(?<!\\S)[^\\w\\s\x00-\x7f](?=[a-zß-öø-ÿ]{2})|(?<=[A-Za-z])[ˆ˜](?=[a-z])|(?<!\\S)ˆ(?=[a-z]{2})")
+_AROUND = re.compile("(?<!\\w)(?:(ì)[A-Za-z][^ìî]{0,80}(î)|(Ò)[A-Za-z][^ÒÓ]{0,80}(Ó))(?!\\w)|(?<=[.?!] )([ñÐ])(?= [A-Z])")
+_SHORT = re.compile("(?<=[b-z])í(?=(?:s|t|ll|re|ve)(?![a-z]))|(?<![rRn] )(?<=[a-z,] )ñ(?= [a-z])")
+_FEW = re.compile("[ìÒÐ]|í(?:s|t|ll|re|ve)\\b|[ .]ñ ")
+_ENGLISH = re.compile("\\b(?:the|and|of|is|with|was|this)\\b")
+_ALSO = re.compile("(?<!\\S)[ñÐ](?!\\S)|(?<=[a-z])[íÕ](?=(?:s|t|ll|re|ve)(?![a-z]))|(?<=\\b[cdjlmnst])[íÕ](?=[a-z])")
 _LETTER = "A-Za-zÀ-ɏЀ-ӿ"
 _SMALL = "a-zß-öø-ÿа-џ"
 _MARK = re.compile(f"\\?\\?|[{_LETTER}]\\?[{_SMALL}]|(?:^|\\s)\\?[{_SMALL}]", re.M)
@@ -272,9 +282,34 @@ class Encodings:
         rest = [x for x in spans if not {*self.states[x[2]][:2]} <= CYRILLIC and not any(x[0] < b and a < x[1] for a, b in grown)]
         return sorted(rest + [(a, b, best(text[a:b])) for a, b in grown])
 
+    def _suspicious(self, text: str) -> bool:
+        return bool(self.suspect.search(text) or (_CYRILLIC.search(text) and _CAPS.search(text)) or (_FEW.search(text) and (_AROUND.search(text) or _SHORT.search(text))))
+
+    def _alone(self, text: str) -> tuple[str, bool]:
+        """A Latin line that the model finds clean, by signs of one character; the pair that explains most of them is taken."""
+        at = [m.start() for m in _ALONE.finditer(text) if m.group() != "´" and text[m.start()] not in self.clean or text[m.start()].isalpha()]
+        at += [i for m in _AROUND.finditer(text) for k in range(1, 6) if (i := m.start(k)) >= 0]
+        if _ENGLISH.search(text):
+            at += [m.start() for m in _SHORT.finditer(text)]
+        cited = [m.span() for m in _CITED.finditer(text) if len(m.group()) <= 14 and m.group()[0] not in "(（"]  # short samples
+        at = [i for i in at if not any(a <= i < b for a, b in cited)]
+        best, new = (0, False, 0.0), text
+        for pair in self.states if at else []:
+            if pair[0] in LATIN and pair[1] in LATIN:
+                out, n, gain = list(text), 0, 0.0
+                for i in at:
+                    x = restore(text[i], *pair)[0]
+                    more = self.clean.get(x, self.unseen + (x in "ïëœæ")) - self.clean.get(text[i], self.unseen)
+                    if len(x) == 1 and (x.islower() or x in "“”«»–—’" and text[i].isalpha()) and more > (0.5 if text[i] not in "íñ" else -1):
+                        out[i], n, gain = x, n + 1, gain + more
+                if (key := (n, "mac_roman" in pair, gain)) > best and n:
+                    swap = lambda m, p=pair: x if (x := restore(m.group(), *p)[0]) in "–’" or x.isalpha() and x.islower() else m.group()
+                    best, new = key, _ALSO.sub(swap, _SIGN.sub(swap, "".join(out)))
+        return new, best[0] > 0
+
     def line(self, text: str) -> tuple[str, bool]:
         """(restored text, damaged) of one line."""
-        if text.isascii() or not (self.suspect.search(text) or (_CYRILLIC.search(text) and _CAPS.search(text))):
+        if text.isascii() or not self._suspicious(text):
             return text, lost(text)
         if text in self.memo:
             return self.memo[text]
@@ -316,6 +351,9 @@ class Encodings:
         new = "".join(out) + text[at:] if hit else text
         if same:  # what else of the line is no letter but would be one
             new = _SIGN.sub(lambda m: x if (x := restore(m.group(), *same)[0]).isalpha() and x.islower() | (m.group() in "¿¡¬√") else m.group(), new)
+        if not hit and not _CYRILLIC.search(text):
+            text, hit = self._alone(text)
+            new = text
         if not hit:
             hit = lost(text)
             for m in re.finditer(f"{LOST}+", text):
@@ -328,7 +366,7 @@ class Encodings:
 
     def text(self, text: str | None) -> tuple[str | None, bool]:
         """(restored text, damaged) of a field; the spans of one line never depend on another line."""
-        if not text or not ("?" in text and _MARK.search(text)) and (text.isascii() or not (self.suspect.search(text) or (_CYRILLIC.search(text) and _CAPS.search(text)))):
+        if not text or not ("?" in text and _MARK.search(text)) and (text.isascii() or not self._suspicious(text)):
             return text, False
         done = [self.line(x) for x in text.split("\n")]
         hit = any(h for _, h in done)

@@ -58,6 +58,19 @@ def test_lost_to_question_marks(encodings, samples, text, damaged):
     assert Analyzer(samples).field(text)[1] is damaged
 
 
+@pytest.mark.parametrize("text,restored", [
+    ("Notizen ¸ber die Redaktion", "Notizen über die Redaktion"), ("Die Suchseite ˆffnet die Anmeldung der G‰ste", "Die Suchseite öffnet die Anmeldung der Gäste"), ("Popular naÔve website", "Popular naïve website"),
+    ("Bazen: cafÈ short hill", "Bazen: café short hill"), ("ìDoî you know the dry list? ñ It is green.", "“Do” you know the dry list? – It is green."), ("Le petit musÈe, mode díemploi", "Le petit musée, mode d’emploi"), ("Thisís the repair guide", "This’s the repair guide"),
+])
+def test_one_character_gives_damage_away(encodings, text, restored):
+    assert encodings.text(text) == (restored, True)
+
+
+@pytest.mark.parametrize("text", ["Únase a 66 lectores", "SI CONTINÚA EN TAMLUN, ACEPTA NUESTRA POLÍTICA.", "Sign in · Register · Music", "El país está en la letra ñ del mapa", "The Spanish letter ñ is rare", "El País is a paper of the capital", "A pack of 5‰ and 20 °C", "Los días pasan", "The log showed “cafÈ” once", "it´s fine", "#чехлыотзывы", "отзывы удочки >>", "l’Île et l’Étoile"])
+def test_no_damage(encodings, text):
+    assert encodings.text(text) == (text, False)
+
+
 def test_lookalikes():
     a = Lookalikes()
     for raw, plain in (("ｂｅｓｔ", "best"), ("cоst", "cost"), ("été", "été"), ("no​tes on", "notes on"), ("a b　c", "a b c"), ("ﾊﾞｯｸ", "バック"), ("ﬁrst", "first"), ("⽇本", "日本"), ("Тhe", "The"), ("фaйл", "файл")):
