@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import packing, queries, repeats
+from loomspark.llm.pages import link_counts
 
 DOCS = "doc_id long, url string, title string, content string, text string, lang string, source string, n_chars long, indexed_at timestamp_ntz"
 EMPTY = {
@@ -131,3 +132,10 @@ def test_packing(spark, refined):
             assert sorted(k for k, _ in p) == list(range(-(-want[d] // capacity))) and all(t == capacity for k, t in p if k < len(p) - 1)
         if refined:
             assert len(full) <= 1.02 * sum(want.values()) / capacity + 2
+
+
+def test_outgoing_links_are_distinct_pages(spark):
+    a, b = "https://a.example/", "https://b.test/"
+    links = [(a, b + "x"), (a, b + "x"), (a, b + "x#top"), (a, b + "x?utm_source=letter"), (a, b + "y?page=2"), (a, b + "y?page=3"), (a, a + "z"), (a, "mailto:x@b.test"), (None, b), (b, a)]
+    got = link_counts(spark.createDataFrame(links, "src string, dst string"))
+    assert sorted((r.link_src, r.outgoing) for r in got.collect()) == [(a, 3), (b, 1)]
