@@ -100,6 +100,10 @@ def unfilled(text: str) -> bool:
     return masked != text and any("{x}" in part and not ABOUT.search(part) for part in re.split(r"(?<=[.!?。])", masked))
 
 
+#: Part of a long line, beyond its first 220 characters, that cue phrases must match.
+CUED = 0.1
+
+
 class Lines:
     MEMO = 100_000
 
@@ -117,26 +121,28 @@ class Lines:
         return got
 
     def _kind(self, flat: str, low: str) -> tuple[int, int]:
-        best, size, hits = 0, 0, 0
+        best, size, hits, matched = 0, 0, 0, 0
         if low.startswith(_TAGS):
             return KINDS.index("tags"), 1
-        if len(low) <= 220:
-            for end, (k, n) in self.cues.iter(low):
-                name = KINDS[k]
-                start = end - n + 1
-                if name in ("tags", "paging", "related") and start > 0 and not (name == "paging" and "next »" == low[start : end + 1]):
-                    continue
-                if name == "paging" and len(low) > 40:
-                    continue
-                if name == "related" and len(low) > 48:
-                    continue
-                if name == "nav" and low[start : end + 1] in ("menu ", "menú ", "menü ", "меню ", "メニュー ") and (start or not re.search("[|·]|log in|anmelden|connexion|acceder|войти|ログイン", low)):
-                    continue
-                if name == "prompt" and low[start : end + 1] in ("for free", "rejoignez", "únase a") and (len(low) > 60 or low.endswith(".")):
-                    continue
-                hits += 1
-                if n > size:
-                    best, size = k, n
+        for end, (k, n) in self.cues.iter(low):
+            name = KINDS[k]
+            start = end - n + 1
+            if name in ("tags", "paging", "related") and start > 0 and not (name == "paging" and "next »" == low[start : end + 1]):
+                continue
+            if name == "paging" and len(low) > 40:
+                continue
+            if name == "related" and len(low) > 48:
+                continue
+            if name == "nav" and low[start : end + 1] in ("menu ", "menú ", "menü ", "меню ", "メニュー ") and (start or not re.search("[|·]|log in|anmelden|connexion|acceder|войти|ログイン", low)):
+                continue
+            if name == "prompt" and low[start : end + 1] in ("for free", "rejoignez", "únase a") and (len(low) > 60 or low.endswith(".")):
+                continue
+            hits += 1
+            matched += n
+            if n > size:
+                best, size = k, n
+        if matched < CUED * (len(low) - 220):
+            best, hits = 0, 0  # a paragraph that mentions such a phrase
         if best and KINDS[best] == "paging" and not re.search(r"\d", low):
             best = 0
         if not best:
@@ -221,9 +227,6 @@ class Lines:
             if not x.text or (x.kind and x.kind != 2):
                 continue
             size = len(x.text)
-            if size > 600 and x.symbol == 0 and not x.text.startswith(("Lorem", "lorem")) and x.function > 0.08:
-                total += size
-                continue
             low = x.text.lower()
             low_found = [(end - n + 1, end + 1) for end, (p, n) in self.residue.iter(low)]
             part, at = 0, 0

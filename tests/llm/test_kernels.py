@@ -11,7 +11,7 @@ from loomspark.llm.bodies import Bodies, blocks, teach
 from loomspark.llm.encodings import LOST, Encodings, garble
 from loomspark.llm.langid import LANGS, LanguageModel, code
 from loomspark.llm.leaks import Items, tokens
-from loomspark.llm.lines import MOVE, EMIT, START, Lines, Spam
+from loomspark.llm.lines import CUES, MOVE, EMIT, START, Lines, Spam
 from loomspark.llm.lookalikes import Lookalikes
 from loomspark.llm.packing import plan
 from loomspark.llm.pages import Analyzer
@@ -124,6 +124,16 @@ def test_residue(title, text, left):
     assert LINES.residue_in(title, page(text)) is left
 
 
+def test_long_lines():
+    filler = "This is placeholder copy, replace before launch. " * 16
+    assert len(filler) > 600 and LINES.residue_in("A", page(filler + "It is for the page and it is of the site."))
+    story = "The library opens at nine and closes at six, and it is for all of the readers. " * 12
+    assert not LINES.residue_in("A", page(story + "This is placeholder copy, replace before launch."))
+    legal = "All rights reserved. No part of this site may be reproduced without the consent of the owner. The texts are for general information only and not professional advice. Some opinions are those of the writers. We may earn a commission."
+    assert len(legal) > 220 and page(legal)[0].kind == page(legal[:90])[0].kind == list(CUES).index("legal") + 1
+    assert not page(story + "All rights reserved.")[0].kind
+
+
 def test_language(samples):
     m = LanguageModel(samples)
     assert m.held_out_accuracy > 0.97
