@@ -31,6 +31,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Sum of capacities up to which the histogram and the plan are made on the driver.
 CAPACITIES = 2_000_000
+#: At most so many container limits are read to the driver; a longer table is refused.
+LIMITS = 1_000
 
 _encoders: dict[str, object] = {}
 
@@ -146,7 +148,10 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], key: str = "doc_id", r
 
 
 def limits_of(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    return [(r.limit_name, r.capacity_tokens) for r in spark.read.parquet(f"{folder}/pack_limits.parquet").orderBy("limit_name").limit(1000).collect()]
+    rows = spark.read.parquet(f"{folder}/pack_limits.parquet").orderBy("limit_name").limit(LIMITS + 1).collect()
+    if len(rows) > LIMITS:
+        raise ValueError(f"more than {LIMITS} container limits; split them and union the results")
+    return [(r.limit_name, r.capacity_tokens) for r in rows]
 
 
 def p8_pack(spark: SparkSession, folder: str, path: str = TOKENIZER) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import packing, queries, repeats
+from loomspark.llm import packing, pages, queries, repeats
 from loomspark.llm.pages import link_counts
 
 DOCS = "doc_id long, url string, title string, content string, text string, lang string, source string, n_chars long, indexed_at timestamp_ntz"
@@ -139,3 +139,16 @@ def test_outgoing_links_are_distinct_pages(spark):
     links = [(a, b + "x"), (a, b + "x"), (a, b + "x#top"), (a, b + "x?utm_source=letter"), (a, b + "y?page=2"), (a, b + "y?page=3"), (a, a + "z"), (a, "mailto:x@b.test"), (None, b), (b, a)]
     got = link_counts(spark.createDataFrame(links, "src string, dst string"))
     assert sorted((r.link_src, r.outgoing) for r in got.collect()) == [(a, 3), (b, 1)]
+
+
+def test_longer_tables_are_refused(spark, tmp_path, monkeypatch):
+    folder = write(spark, tmp_path, {"lang_samples": [(i, "en", f"text {i}") for i in range(4)], "pack_limits": [(f"l{i}", 100 + i) for i in range(4)]})
+    monkeypatch.setattr(pages, "SAMPLES", 4)
+    monkeypatch.setattr(packing, "LIMITS", 4)
+    assert len(pages.samples_of(spark, folder)) == 4 and len(packing.limits_of(spark, folder)) == 4
+    monkeypatch.setattr(pages, "SAMPLES", 3)
+    monkeypatch.setattr(packing, "LIMITS", 3)
+    with pytest.raises(ValueError):
+        pages.samples_of(spark, folder)
+    with pytest.raises(ValueError):
+        packing.limits_of(spark, folder)
