@@ -3,21 +3,34 @@
 The tables hold a page's text without its mark-up, so its tree is rebuilt from the lines:
 the page, its blocks (runs of lines of one look) and the lines.  A node's features are
 its own counts, the cue tokens that stand for attributes, its depth, its place, and the
-density of its block and of its neighbours.  The trees are fitted on a bounded sample of
-pages whose lines the cues label for certain; decoding is hierarchical: a line is
-body only in a block that is body, and a block is body only if a line of it is.
-Null and empty contents have no lines.
+density of its block and of its neighbours.
+
+The labels of the bounded training sample come from two sources that know nothing of each other: lines that
+repeat on the pages of one host, whatever they say, and the cues, which name what differs from page
+to page (author lines, tags, trails, lists of pages under their heading).  So that the trees don't
+just repeat the cues, every page is learned twice: as it is, and with the cues of a part of all
+lines hidden, as on a site whose phrases no list holds.  Hidden lines must be told by shape, place and
+neighbours.  Decoding is hierarchical: a line is body only in a block that is body, and a
+block is body only if a line of it is.  Null and empty contents have no lines.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 
 from .lines import KINDS, SYMBOLS, Line
 from .trees import Boosted
 
 RELATED = KINDS.index("related")
-_K = len(KINDS)
+#: A line repeats if it stands on so many pages of its host in the sample, and on such a share of them.
+PAGES, SHARE = 3, 0.1
+#: Share of the different lines whose cues are hidden in the second copy of a page.
+HIDDEN = 0.3
+_DIGITS = re.compile(r"\d+")
 
 
 def listed(x: Line) -> bool:
@@ -40,8 +53,22 @@ def blocks(lines: list[Line]) -> list[tuple[int, int]]:
     return out
 
 
-def teach(lines: list[Line]) -> list[int]:
-    """1 for body, 0 for what the cues name, and for lists that a heading of related pages opens."""
+def key(x: Line) -> str:
+    return _DIGITS.sub("0", x.text.lower())
+
+
+def repeats(pages: list[list[Line]], hosts: list) -> set[tuple]:
+    """(host, line) of the lines that repeat on the pages of one host."""
+    seen, size = defaultdict(set), Counter(hosts)
+    for i, (lines, host) in enumerate(zip(pages, hosts)):
+        for x in lines:
+            if x.text:
+                seen[host, key(x)].add(i)
+    return {k for k, v in seen.items() if len(v) >= PAGES and len(v) >= SHARE * size[k[0]]}
+
+
+def teach(lines: list[Line], host=None, repeated: set | frozenset = frozenset()) -> list[int]:
+    """1 for body, 0 for what repeats on the host, for what cues name, and for lists that a heading of related pages opens."""
     out, within = [], False
     for x in lines:
         if x.kind:
@@ -51,10 +78,17 @@ def teach(lines: list[Line]) -> list[int]:
             out.append(0)
         else:
             within = within and not x.text
-            out.append(1)
+            out.append(0 if repeated and x.text and (host, key(x)) in repeated else 1)
     return out
 
 
+def hidden(x: Line, salt: int) -> Line:
+    """The line as it would be if no list held its phrase, for HIDDEN of all lines."""
+    if not x.kind or zlib.crc32(f"{salt} {key(x)}".encode()) % 1000 >= 1000 * HIDDEN:
+        return x
+    return x._replace(kind=0, cue_hits=0, symbol=0 if x.ends and x.words > 2 else 5)
+
+
 def features(lines: list[Line], runs: list[tuple[int, int]]) -> list[list[float]]:
     """Of every line, then of every block."""
     n = len(lines)
@@ -80,14 +114,20 @@ def features(lines: list[Line], runs: list[tuple[int, int]]) -> list[list[float]
 
 
 class Bodies:
-    def __init__(self, pages: list[list[Line]]):
+    """pages: lines of the sample's pages; hosts: their hosts, for what repeats there."""
+
+    def __init__(self, pages: list[list[Line]], hosts: list | None = None, copies: int = 1):
         x, y = [], []
-        for lines in pages:
-            runs = blocks(lines)
-            truth = teach(lines)
-            x += features(lines, runs)
-            y += truth + [int(any(truth[a:b])) for a, b in runs]
-        self.model = Boosted(trees=30, depth=4).fit(np.array(x, dtype=np.float32), np.array(y, dtype=float)) if len(set(y)) == 2 else None
+        hosts = hosts or [None] * len(pages)
+        again = repeats(pages, hosts) if any(hosts) else frozenset()
+        for lines, host in zip(pages, hosts):
+            truth = teach(lines, host, again)
+            for salt in range(copies + 1):
+                seen = [hidden(v, salt) for v in lines] if salt else lines
+                runs = blocks(seen)
+                x += features(seen, runs)
+                y += truth + [int(any(truth[a:b])) for a, b in runs]
+        self.model = Boosted(trees=40, depth=5).fit(np.array(x, dtype=np.float32), np.array(y, dtype=float)) if len(set(y)) == 2 else None
 
     def label(self, pages: list[list[Line]]) -> list[list[bool]]:
         """For each page, which of its lines are body."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .lookalikes import Lookalikes
+from .lookalikes import Lookalikes, shapes_of
 
 ITEMS = 100_000
 WORDS, CHARACTERS = 5, 10

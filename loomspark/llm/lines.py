@@ -11,6 +11,9 @@ from collections import Counter
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
+
+from .residue import PLACEHOLDER, SHARE, UNSET, VALUE, matched, residue_machine, unfilled
 
 # Phrases of navigation, notices, prompts, legal text and the like, by kind and in six languages, separated by ";".
 CUES = {
@@ -22,24 +25,27 @@ CUES = {
     "tags": "tags:;tags :;schlagwörter:;mots-clés :;mots-clés:;etiquetas:;метки:;теги:;タグ ",
     "paging": "« previous;next »;zurück ;précédent ;anterior ;назад ;前へ ;page ",
 }
+# Short phrases of the same kinds that are common on the web; they count where they make up half of a line.
+WHOLE = {
+    "nav": ["skip to main content", "skip navigation", "sign in", "log in", "login", "log out", "sign up", "my account", "site map", "sitemap", "read more", "show more", "load more", "view all", "see all", "show all", "anmelden", "registrieren", "mein konto", "weiterlesen", "mehr anzeigen", "se connecter", "s'inscrire", "mon compte", "lire la suite", "voir plus", "tout afficher", "plan du site", "iniciar sesión", "registrarse", "mi cuenta", "leer más", "ver más", "ver todo", "mapa del sitio", "регистрация", "личный кабинет", "читать далее", "показать ещё", "карта сайта", "会員登録", "マイページ", "続きを読む", "もっと見る", "サイトマップ"],
+    "notice": ["accept all", "reject all", "accept cookies", "cookie settings", "manage preferences", "cookie policy", "advertisement", "sponsored content", "alle akzeptieren", "alle ablehnen", "anzeige", "tout accepter", "tout refuser", "publicité", "aceptar todo", "rechazar todo", "publicidad", "принять все", "отклонить все", "すべて許可", "すべて拒否", "同意する", "広告"],
+    "prompt": ["leave a reply", "leave a comment", "post a comment", "add a comment", "comments are closed", "follow us", "share on facebook", "share on twitter", "share this", "share on linkedin", "share via email", "subscribe to our newsletter", "sign up for our newsletter", "subscribe now", "print this page", "email this article", "download our app", "kommentar schreiben", "folgen sie uns", "newsletter abonnieren", "jetzt abonnieren", "seite drucken", "laisser un commentaire", "suivez-nous", "s'abonner à la newsletter", "imprimer cette page", "deja un comentario", "dejar un comentario", "síguenos", "suscríbete a nuestro boletín", "imprimir esta página", "оставить комментарий", "подписывайтесь на нас", "подписаться на рассылку", "コメントを残す", "フォローする", "メールマガジン登録"],
+    "legal": ["privacy policy", "privacy statement", "terms and conditions", "terms of service", "legal notice", "do not sell my personal information", "accessibility statement", "powered by", "copyright", "datenschutzerklärung", "nutzungsbedingungen", "politique de confidentialité", "conditions d'utilisation", "política de privacidad", "términos y condiciones", "политика конфиденциальности", "пользовательское соглашение", "プライバシーポリシー", "利用規約", "特定商取引法に基づく表記"],
+    "related": ["related articles", "related posts", "related content", "recommended for you", "more like this", "recent posts", "popular posts", "trending now", "ähnliche artikel", "verwandte artikel", "neueste beiträge", "articles similaires", "articles récents", "artículos recientes", "te puede interesar", "похожие статьи", "последние записи", "関連する記事", "最近の投稿", "人気の記事"],
+    "tags": ["filed under", "posted in", "categories:", "category:", "tagged with", "kategorien:", "catégories :", "categorías:", "рубрики:", "カテゴリー"],
+    "paging": ["previous post", "next post", "previous page", "next page", "older posts", "newer posts", "older entries", "vorherige seite", "nächste seite", "page précédente", "page suivante", "página anterior", "página siguiente", "предыдущая страница", "следующая страница", "前のページ", "次のページ"],
+}
+# Of these, those that open a line which names somebody.
+OPENING = ("powered by", "copyright", "follow us", "filed under", "posted in", "tagged with", "share on", "folgen sie uns", "suivez-nous", "síguenos", "next post", "previous post")
 # Names of sections as they stand alone in vertical menus.
 SECTIONS = set("science|software|garden|forum|maps|music|events|travel|guides|kitchen|reviews|news|home|about|contact|search|wissenschaft|technik|garten|karten|musik|termine|reisen|ratgeber|küche|tests|aktuelles|sciences|logiciels|jardin|cartes|musique|agenda|voyages|cuisine|critiques|actualités|ciencia|programas|jardín|foro|mapas|música|viajes|guías|cocina|reseñas|noticias|наука|программы|техника|сад|форум|карты|музыка|афиша|поездки|советы|кухня|обзоры|новости|科学|ソフト|園芸|掲示板|地図|音楽|催し|旅行|手引き|料理|批評|ニュース".split("|"))
 # Frequent words without content of each language.
 FUNCTION = set("the a an of and in to is are was were it for on with as by at from that this each you we can do if when not only but whether which than us our your they their has have had der die das den dem des ein eine einen und in im zu ist sind von mit für auf nach am bei über denn als nicht wird werden zum zur gilt le la les l un une des du de d et à au aux en dans sur pour par est sont car que qui ne pas ce cette tandis avec sans el los las del una uno y al que por para con en es son se su sus porque mientras según lo в и на с по не за от до о об для из к а но что как это уже во или при потому".split())
 # Words that sellers add to product names.
 COMMERCE = set("buy cheap cheapest best top sale discount online wholesale official lowest price free delivery near me deals offer review reviews kaufen billig günstig angebot rabatt bester preis testsieger sofort lieferbar acheter pas cher promo soldes livraison gratuite meilleur prix avis comparatif comprar barato oferta descuento rebajas envío gratis mejor precio opiniones купить дёшево недорого скидки распродажа цена доставка отзывы оптом лучшие 激安 送料無料 通販 最安値 比較 人気 おすすめ 口コミ 新品 限定".split())
-# What placeholders look like.
-PLACEHOLDER = re.compile(r"\{\{\{?\s*[\w.]+\s*\}?\}\}|\$\{[\w.]+\}|#\{[\w.]+\}|<%=?\s*[\w.]+\s*%>|\{%\s*[\w ._]+\s*%\}|%%[\w.]+%%|\[\[\s*[\w.]+\s*\]\]|(?<!\w)__[A-Za-z][\w.]*?[A-Za-z]__(?!\w)|\[(?:INSERT|insert|Insert) [\w ]+ (?:HERE|here|Here)\]|(?<![\w$#{])\{[A-Za-z][\w.]*\}(?!\})")
-# Words of sentences that speak about such marks instead of leaving them.
-ABOUT = re.compile(r"\btokens?\b|templates?\b|placeholder|\bshell\b|syntax|Platzhalter|Vorlage|balise|modèle|la marca \{|marcador|plantilla|\bМетка\b|шаблон|雛形|記号|export |load\(|[“„«「`]\s*[{$#<%_\[]", re.I)
-# Defaults and unset values.
-UNSET = {"undefined", "null", "none", "nan", "[object object]", "[title missing]", "untitled document", "untitled", "new page 1", "new page", "no title", "(no title)", "title", "n/a", "nil", "ohne titel", "sans titre", "sin título", "без названия", "無題", "無題ドキュメント"}
-# Filler, errors, maintenance, blocking and script messages of pages.
-RESIDUE = "your text goes here|insert description here|this is placeholder copy, replace before launch|placeholder copy|todo write this section|sample heading|hier steht ihr text|blindtext bitte ersetzen|überschrift einfügen|votre texte ici|texte provisoire à remplacer|insérer un titre|su texto aquí|texto de relleno, sustituir|insertar título|здесь будет ваш текст|текст-заглушка, замените|введите заголовок|ダミーテキストです|この文章は仮のものです|見出しを入力してください|ここに文章が入ります|checking your browser before access. this takes about|seconds|you need to turn on javascript to start this app|this site requires scripts and cookies. verify that you are human|loading... please wait|javascript is disabled in your browser. turn it on and reload the page|please enable javascript to go on|page not found. the page you are looking for may have been moved or deleted|page not found|access denied. your request was blocked by our firewall|access denied|bad gateway|internal server error|oops! we can't find that|oops|404 not found|not found|your session has expired. please log in again|forbidden - you do not have access to this resource|403 forbidden|too many requests. slow down and retry later|service temporarily unavailable. please try again in|service unavailable|minutes|database connection failed: too many connections|traceback (most recent call last):|the server met a problem and could not finish your request. reference|this domain is parked. contact the owner for an offer|this article is no longer available|diese anwendung benötigt javascript|bitte aktivieren sie javascript in ihrem browser|ihr browser wird geprüft, bitte warten|die angeforderte seite existiert nicht mehr|zugriff verweigert|seite nicht gefunden. fehler|wartungsarbeiten: wir sind in|minuten zurück|interner serverfehler. bitte versuchen sie es später erneut|veuillez activer javascript pour continuer|cette application nécessite javascript|vérification de votre navigateur en cours|cette page n’existe plus ou a été déplacée|page introuvable. erreur|erreur interne du serveur, code|accès refusé|site en maintenance, retour dans|active javascript para continuar|esta aplicación necesita javascript|comprobando su navegador, espere|la página que busca ya no existe|página no encontrada. error|error interno del servidor, código|acceso denegado|sitio en mantenimiento, volvemos en|minutos|включите javascript, чтобы продолжить|для работы сайта нужен javascript|проверяем ваш браузер, подождите|запрошенная страница больше не существует|страница не найдена. ошибка|внутренняя ошибка сервера, код|доступ запрещён|ведутся технические работы|идут технические работы, вернёмся через|минут|読み込み中です。しばらくお待ちください|このサイトを表示するにはjavascriptを有効にしてください|スクリプトが無効になっています。設定を変更してください|ブラウザを確認しています|ページが見つかりません。住所を確認してください|お探しのページは移動または削除された可能性があります|アクセスが拒否されました|サーバーエラーが発生しました。時間をおいて再度お試しください。番号|ただいまメンテナンス中です|時に再開します".split("|")
-# Words of filler Latin.
-LATIN = set("lorem ipsum nullam amectu adipra exeat velitas eiusma dolura incidu consel nisiut exerci ullamor pariatur laborem tempra quiset commora elitum aliquem irurem cillor minivra enimat sitra duisur sedor magnor nostrel fugiat dolen dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat".split())
 
 KINDS = ["", *CUES, "section", "byline", "crumb", "menu"]
+NOTICE = KINDS.index("notice")
 _WORD = re.compile(r"[^\W\d_]+")
 _URL = re.compile(r"https?://\S+|www\.\S+")
 _CJK = re.compile("[぀-ヿ一-鿿々〆]")
@@ -54,9 +60,6 @@ _TAGS = tuple(CUES["tags"].split(";"))
 _BRACE = re.compile(r"[{%\[]|__")
 _TAG = re.compile(r"(?<!\w)#\w")
 _RIGHTS = re.compile(r"©\s*\d{4}|^\s*©|©\s*$")
-_FAULT = re.compile(r"traceback \(most recent call last\):|file \".*\", line \d+, in .+|\w*(?:error|exception): .{0,80}|(?:warning|notice|fatal error|parse error): .* on line \d+|at [\w.$]+\(.*:\d+\)")
-_VALUE = re.compile(r".{0,80}: (?:undefined|null|none|nan|\[object object\])")
-_DIGIT = re.compile("[0-9]")
 _CELLS = re.compile(r"\s[|·;–-]\s|[\t、,；;・]|/ ")
 _TABLE = re.compile(r"\|\s*-?\d[\d.,]*\s*(?:\||$)")
 _CODE = re.compile(r"^(?: {2,}|\t)\S|^\s*(?:SELECT |curl |export |for \w+ in |def |import |fetch_\w+\(|\w+ = \w+\()")
@@ -94,12 +97,6 @@ def _machine(phrases) -> ahocorasick.Automaton:
     return a
 
 
-def unfilled(text: str) -> bool:
-    """Does a sentence of the text hold a placeholder without speaking about it?"""
-    masked = PLACEHOLDER.sub("{x}", text)
-    return masked != text and any("{x}" in part and not ABOUT.search(part) for part in re.split(r"(?<=[.!?。])", masked))
-
-
 #: Part of a long line, beyond its first 220 characters, that cue phrases must match.
 CUED = 0.1
 
@@ -108,9 +105,12 @@ class Lines:
     MEMO = 100_000
 
     def __init__(self):
-        self.cues = _machine((p, (k, len(p))) for k, v in enumerate(CUES.values(), 1) for p in v.split(";"))
-        self.residue = _machine((p, (p, len(p))) for p in RESIDUE)
+        kinds = list(CUES)
+        whole = {p: (kinds.index(k) + 1, len(p), True) for k, v in WHOLE.items() for p in v}
+        self.cues = _machine({**whole, **{p: (k, len(p), False) for k, v in enumerate(CUES.values(), 1) for p in v.split(";")}}.items())
+        self.residue = residue_machine()
         self.memo: dict[str, Line] = {}
+        self.found: dict[str, tuple[int, bool]] = {}
 
     def line(self, raw: str) -> Line:
         got = self.memo.get(raw)
@@ -121,12 +121,17 @@ class Lines:
         return got
 
     def _kind(self, flat: str, low: str) -> tuple[int, int]:
-        best, size, hits, matched = 0, 0, 0, 0
+        best, size, hits, matched, part, short = 0, 0, 0, 0, 0, 0
         if low.startswith(_TAGS):
             return KINDS.index("tags"), 1
-        for end, (k, n) in self.cues.iter(low):
+        for end, (k, n, whole) in self.cues.iter(low):
             name = KINDS[k]
             start = end - n + 1
+            if whole:
+                if not (low[start - 1 : start].isalpha() or low[end + 1 : end + 2].isalpha()) or low[end] > "\u3040":
+                    part += n
+                    short = short or (k if start == 0 or name != "tags" else 0)
+                continue
             if name in ("tags", "paging", "related") and start > 0 and not (name == "paging" and "next »" == low[start : end + 1]):
                 continue
             if name == "paging" and len(low) > 40:
@@ -145,6 +150,8 @@ class Lines:
             best, hits = 0, 0  # a paragraph that mentions such a phrase
         if best and KINDS[best] == "paging" and not re.search(r"\d", low):
             best = 0
+        if not best and short and (part >= 0.5 * len(low) or len(low) < 80 and low.startswith(OPENING)) and not _END.search(flat[:-1]):
+            best, hits = short, 1
         if not best:
             if low in SECTIONS:
                 best = KINDS.index("section")
@@ -169,8 +176,9 @@ class Lines:
         urls = len(_URL.findall(flat)) if "http" in flat or "www." in flat else 0
         bare = _URL.sub(" ", flat) if urls else flat
         words = _WORD.findall(bare)
-        cjk = len(_CJK.findall(bare))
-        lows = _WORD.findall(bare.lower())
+        plain = flat.isascii()
+        cjk = 0 if plain else len(_CJK.findall(bare))
+        lows = [w.lower() for w in words]
         if cjk > 0.25 * max(1, len(bare)):
             kana = sum("ぁ" <= c <= "ゟ" for c in bare)
             n = max(1, cjk // 2 + sum(w.isascii() for w in words))
@@ -184,12 +192,14 @@ class Lines:
             runs = [w for w in lows if len(w) > 2 and w not in FUNCTION and w not in COMMERCE]
         top, repeat, count = "", 0.0, 0
         if runs:
-            (top, count), = Counter(runs).most_common(1)
+            of = Counter(runs)
+            top = max(of, key=of.__getitem__)
+            count = of[top]
             repeat = count / max(1, len(runs) if cjk > 0.25 * len(bare) else n)
         ends = len(_END.findall(bare))
         hashes = len(_TAG.findall(bare)) if "#" in bare else 0
         cells = len(_CELLS.split(flat))
-        digits = len(_DIGIT.findall(flat)) / len(flat)
+        digits = sum(map(flat.count, "0123456789")) / len(flat)
         title = sum(w[0].isupper() for w in words) / max(1, len(words)) if len(words) < 20 else 0.0
         code, sku = bool(_CODE.match(raw)), bool(_SKU.search(flat))
         table = "|" in flat and bool(_TABLE.search(flat))
@@ -198,7 +208,7 @@ class Lines:
             symbol = "B"
         elif code:
             symbol = "C"
-        elif table or low in UNSET or _VALUE.fullmatch(low) or (_BRACE.search(flat) and PLACEHOLDER.search(flat) and not ends):
+        elif table or low in UNSET or VALUE.fullmatch(low) or (_BRACE.search(flat) and PLACEHOLDER.search(flat) and not ends):
             symbol = "T"
         elif sku or hashes >= 2 or (hashes == 1 and flat[0] == "#" and n <= 4):
             symbol = "K"
@@ -220,85 +230,144 @@ class Lines:
             symbol = "S"
         return Line(flat, kind, n, ends, function, commerce, urls, hashes, cells, digits, title, repeat, top, code, sku, SYMBOLS.index(symbol), hits)
 
-    def residue_share(self, lines: list[Line]) -> float:
-        """Part of the text outside of navigation that residue phrases cover."""
-        total = covered = 0
-        for x in lines:
-            if not x.text or (x.kind and x.kind != 2):
-                continue
-            size = len(x.text)
-            low = x.text.lower()
-            low_found = [(end - n + 1, end + 1) for end, (p, n) in self.residue.iter(low)]
-            part, at = 0, 0
-            for a, b in sorted(low_found):
-                if b > at:
-                    part += b - max(a, at)
-                    at = b
-            words = _WORD.findall(low)
-            if words and sum(map(LATIN.__contains__, words)) > 0.6 * len(words):
-                part = size
-            if low in UNSET or _FAULT.fullmatch(low) or _VALUE.fullmatch(low):
-                part = size
-            if part < size and part < 0.45 * size:
-                part = 0  # a sentence that mentions such a phrase
-            elif part:
-                part = size
-            total += size
-            covered += part
-        return covered / total if total else 0.0
-
     def residue_in(self, title: str | None, lines: list[Line]) -> bool:
         """Problem 2 for one document, in normal form."""
         if title:
             t = " ".join(title.split())
             if t.lower() in UNSET or unfilled(t):
                 return True
-        if any(not x.code and _BRACE.search(x.text) and unfilled(x.text) for x in lines):
-            return True
-        return self.residue_share(lines) >= 0.5
+        total = covered = 0
+        for x in lines:
+            if not x.text:
+                continue
+            size = len(x.text)
+            known = self.found.get(x.text)
+            if known is None:
+                known = matched(self.residue, x.text.lower())
+                if len(self.found) < self.MEMO and size < 400:
+                    self.found[x.text] = known
+            part, opened = known
+            if opened and not x.code and unfilled(x.text):
+                return True
+            if not x.kind or x.kind == NOTICE:  # navigation around a message doesn't count
+                total += size
+                covered += part
+        return covered >= SHARE * total > 0
 
 
 # Problem 1: a hidden Markov model over the symbols of lines.
 STATES = ["prose", "link list", "tag list", "menu"]
-# Rows of states; columns of SYMBOLS.
+#: Two more observations: a short line of a page without links and keywords, and one of a page of nothing but short lines.
+UNLINKED, NAKED = len(SYMBOLS), len(SYMBOLS) + 1
+# Where the fit begins and what its prior counts; rows of states, columns of SYMBOLS.
 EMIT = [
     [0.62, 0.10, 0.004, 0.010, 0.006, 0.10, 0.01, 0.05, 0.05, 0.05],
     [0.010, 0.02, 0.05, 0.002, 0.58, 0.31, 0.006, 0.001, 0.001, 0.02],
     [0.010, 0.002, 0.56, 0.30, 0.03, 0.075, 0.002, 0.001, 0.01, 0.01],
     [0.02, 0.002, 0.004, 0.002, 0.004, 0.30, 0.62, 0.001, 0.007, 0.04],
 ]
+#: A short line where no list is likely in a list, and on a page of nothing else in prose or a menu.
+UNLIKELY = 0.002
 MOVE = [[0.86, 0.02, 0.02, 0.10], [0.05, 0.88, 0.04, 0.03], [0.05, 0.03, 0.89, 0.03], [0.16, 0.02, 0.02, 0.80]]
 START = [0.4, 0.07, 0.08, 0.45]
 
 
+def tied(emit: np.ndarray) -> np.ndarray:
+    """Emissions from counts.  The three kinds of short lines are one sign on pages of different kinds, so its share of a state's
+    lines holds for each kind that the state may have."""
+    share = emit / emit.sum(1, keepdims=True)
+    out = np.full((4, NAKED + 1), UNLIKELY)
+    out[:, : len(SYMBOLS)] = share[:, : len(SYMBOLS)]
+    short = share[:, 5] + share[:, UNLINKED:].sum(1)
+    out[:, 5] = short
+    out[[0, 3], UNLINKED] = short[[0, 3]]
+    out[[1, 2], NAKED] = short[[1, 2]]
+    return out
+
+
+def observations(lines: list[Line], title: Line | None = None) -> list[int]:
+    """What the model sees of a page: the title, if there is one, and the lines.
+
+    A stuffed sentence counts as such only if its word rules the page."""
+    symbols = [x.symbol for x in lines]
+    if 3 in symbols:
+        words = [w.lower() for x in lines if x.symbol in (0, 2, 3) for w in (_RUN.findall(x.text) if _CJK.search(x.text) else _WORD.findall(x.text))]
+        one = Counter(w for w in words if w not in FUNCTION and w not in COMMERCE and (len(w) > 2 or not w.isascii()))
+        two = Counter(p for p in zip(words, words[1:]) if p[0] in one)
+        most, pair = max(one.values(), default=0) / max(1, len(words)), max(two.values(), default=0) / max(1, len(words))
+        enough = max(one.values(), default=0) >= 6
+        if not (enough and (most >= 0.3 if any(not w.isascii() and _CJK.match(w) for w in words) else most >= 0.19 or pair >= 0.12)):
+            symbols = [0 if s == 3 else s for s in symbols]
+    seen = set(symbols)
+    if title and title.text:
+        symbols.insert(0, 5 if title.symbol in (3, 6) else title.symbol)
+    if not seen & {0, 1, 7, 8, 6} and symbols.count(5) >= 6:
+        return [NAKED if s == 5 else s for s in symbols]
+    if not seen & {2, 3, 4} and (seen & {0, 1, 7, 8} or symbols.count(5) < 6):
+        return [UNLINKED if s == 5 else s for s in symbols]
+    return symbols
+
+
 class Spam:
     """Labels lines by Viterbi's algorithm; a page is spam if its link and tag words are at least half of those outside of menus."""
 
     SHARE, LEAST = 0.5, 6
-
-    def __init__(self):
-        from math import log
-
-        self.emit = [[log(x) for x in row] for row in EMIT]
-        self.move = [[log(MOVE[a][b]) for a in range(4)] for b in range(4)]
-        self.start = [log(x) for x in START]
-
-    def label(self, symbols: list[int]) -> list[int]:
-        if not symbols:
+    #: Lines that the prior of each state counts as.
+    PRIOR = 400
+
+    def __init__(self, emit=EMIT, move=MOVE, start=START):
+        self.set(tied(np.pad(np.array(emit), ((0, 0), (0, 2)))), np.array(move), np.array(start))
+
+    def set(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
+        self.p = [emit, move / move.sum(-1, keepdims=True), start / start.sum()]
+        e, m, self.start = (np.log(x).tolist() for x in self.p)
+        self.columns = [tuple(row[o] for row in e) for o in range(len(e[0]))]
+        self.move = [tuple(row[k] for row in m) for k in range(4)]
+
+    def fit(self, pages: list[list[int]], rounds: int = 5) -> "Spam":
+        """Baum-Welch over observed pages, with EMIT, MOVE and START as prior counts."""
+        prior = [np.pad(np.array(EMIT), ((0, 0), (0, 2))) * self.PRIOR, np.array(MOVE) * self.PRIOR, np.array(START) * self.PRIOR]
+        pages = [p for p in pages if p]
+        for _ in range(rounds if pages else 0):
+            b, a, pi = self.p
+            emit, move, start = (x.copy() for x in prior)
+            for page in pages:
+                o = np.array(page)
+                n = len(o)
+                f, c, back = np.empty((n, 4)), np.empty(n), np.ones((n, 4))
+                v = pi * b[:, o[0]]
+                for t in range(n):
+                    if t:
+                        v = (f[t - 1] @ a) * b[:, o[t]]
+                    c[t] = v.sum()
+                    f[t] = v / c[t]
+                for t in range(n - 2, -1, -1):
+                    back[t] = a @ (b[:, o[t + 1]] * back[t + 1]) / c[t + 1]
+                gamma = f * back
+                start += gamma[0]
+                np.add.at(emit.T, o, gamma)
+                if n > 1:
+                    move += a * (f[:-1].T @ (b[:, o[1:]].T * back[1:] / c[1:, None]))
+            self.set(tied(emit), move, start)
+        return self
+
+    def label(self, observed: list[int]) -> list[int]:
+        if not observed:
             return []
-        e, m = self.emit, self.move
-        v = [self.start[s] + e[s][symbols[0]] for s in range(4)]
+        e = self.columns
+        (a0, a1, a2, a3), (b0, b1, b2, b3), (c0, c1, c2, c3), (d0, d1, d2, d3) = self.move
+        v0, v1, v2, v3 = (x + y for x, y in zip(self.start, e[observed[0]]))
         back = []
-        for o in symbols[1:]:
-            w, b = [], []
-            for s in range(4):
-                ms = m[s]
-                c = [v[0] + ms[0], v[1] + ms[1], v[2] + ms[2], v[3] + ms[3]]
-                k = c.index(max(c))
-                b.append(k)
-                w.append(c[k] + e[s][o])
-            back.append(b)
-            v = w
+        for o in observed[1:]:
+            x = (v0 + a0, v1 + a1, v2 + a2, v3 + a3)
+            y = (v0 + b0, v1 + b1, v2 + b2, v3 + b3)
+            z = (v0 + c0, v1 + c1, v2 + c2, v3 + c3)
+            w = (v0 + d0, v1 + d1, v2 + d2, v3 + d3)
+            v0, v1, v2, v3 = max(x), max(y), max(z), max(w)
+            back.append((x.index(v0), y.index(v1), z.index(v2), w.index(v3)))
+            f0, f1, f2, f3 = e[o]
+            v0, v1, v2, v3 = v0 + f0, v1 + f1, v2 + f2, v3 + f3
+        v = (v0, v1, v2, v3)
         s = v.index(max(v))
         out = [s]
         for b in reversed(back):
@@ -306,25 +375,10 @@ class Spam:
             out.append(s)
         return out[::-1]
 
-    def counts(self, lines: list[Line]) -> tuple[int, int, int, int, list[int]]:
-        """Words of prose, link lists, tag lists and menus, and the labels.  A stuffed sentence counts as such only if its word rules the page."""
-        symbols = [x.symbol for x in lines]
-        if 3 in symbols:
-            words = [w.lower() for x in lines if x.symbol in (0, 2, 3) for w in (_RUN.findall(x.text) if _CJK.search(x.text) else _WORD.findall(x.text))]
-            one = Counter(w for w in words if w not in FUNCTION and w not in COMMERCE and (len(w) > 2 or not w.isascii()))
-            two = Counter(p for p in zip(words, words[1:]) if p[0] in one)
-            most, pair = max(one.values(), default=0) / max(1, len(words)), max(two.values(), default=0) / max(1, len(words))
-            enough = max(one.values(), default=0) >= 6
-            rules = enough and (most >= 0.3 if any(not w.isascii() and _CJK.match(w) for w in words) else most >= 0.19 or pair >= 0.12)
-            if not rules:
-                symbols = [0 if s == 3 else s for s in symbols]
-        bare = symbols.count(5) >= 6 and not any(s in (0, 1, 7, 8) for s in symbols)  # nothing but short lines
-        if not bare and not any(s in (2, 3, 4) for s in symbols):
-            states = [0 if s != 6 else 3 for s in symbols]  # without keywords or links no list is likelier than prose or menu
-        else:
-            states = self.label(symbols)
-            if bare and 6 not in symbols:  # without any cue of a menu short lines are none
-                states = [1 if s == 3 else s for s in states]
+    def counts(self, lines: list[Line], title: Line | None = None) -> tuple[int, int, int, int, list[int]]:
+        """Words of prose, link lists, tag lists and menus, and the labels; every page is decoded."""
+        states = self.label(observations(lines, title))
+        states = states[len(states) - len(lines) :]
         n = [0, 0, 0, 0]
         for s, x in zip(states, lines):
             n[s] += x.words + x.links

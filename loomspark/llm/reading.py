@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import hash_sample
 from .langid import LanguageModel
 from .lines import FUNCTION, Line
-from .pages import _COUNTS, _counts, _documents, fit_bodies, over, samples_of, sound
+from .pages import _COUNTS, _counts, _documents, fit_pages, over, samples_of, sound
 from .trees import isotonic
 
 #: At most so many graded documents are used to fit the ranker, and so many pairs of them.
@@ -106,7 +106,7 @@ def fit(spark: SparkSession, folder: str, parts: dict) -> Ranker:
 def levels(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, url, counts, lang, score, level) of documents whose content has at least 60 words; others are left out."""
     samples = samples_of(spark, folder)
-    parts = {"samples": samples, "bodies": fit_bodies(spark, folder, samples), "language": LanguageModel(samples)}
+    parts = {**fit_pages(spark, folder, samples, True), "language": LanguageModel(samples)}
     ranker = fit(spark, folder, parts)
 
     def rows(a, c):

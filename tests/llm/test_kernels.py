@@ -11,7 +11,7 @@ from loomspark.llm.bodies import Bodies, blocks, teach
 from loomspark.llm.encodings import LOST, Encodings, garble
 from loomspark.llm.langid import LANGS, LanguageModel, code
 from loomspark.llm.leaks import Items, tokens
-from loomspark.llm.lines import CUES, MOVE, EMIT, START, Lines, Spam
+from loomspark.llm.lines import CUES, KINDS, NAKED, UNLINKED, Lines, Spam, observations
 from loomspark.llm.lookalikes import Lookalikes
 from loomspark.llm.packing import plan
 from loomspark.llm.pages import Analyzer
@@ -79,17 +79,58 @@ def test_lookalikes():
     for t in ("担当者👩‍💻が", "「はい」、どうぞ！？", "“quoted” – dash…", "Москва and London", "№ 5", None, ""):
         assert a.rewrite(t) == t
     assert a.root("Ａ") == a.root("А") == a.root("Α") == a.root("A")
-    often = Lookalikes({"А": 10})
-    assert often.by_shape["A", "cyrillic"] == "А"
+    # the more frequent member of a class stands for it
+    assert Lookalikes({"А": 10}).by_shape["A", "cyrillic"][0] == "А"
+    assert Lookalikes({"у": 9, "ү": 1}).by_shape["y", "cyrillic"][0] == "у" and Lookalikes({"у": 1, "ү": 9}).by_shape["y", "cyrillic"][0] == "ү"
+    for raw, plain in (("раураl.com", "paypal.com"), ("ϲat", "cat"), ("ТЕSТ", "TEST"), ("кoмпьютер", "компьютер"), ("5 µm", "5 μm"), ("in вavel", "in bavel")):
+        assert a.rewrite(raw) == plain
+
+
+def test_lookalikes_by_the_public_table(spark):
+    from loomspark.llm.lookalikes import shapes_of
+
+    shapes = shapes_of(spark)
+    assert len(shapes) > 500
+    a = Lookalikes(None, shapes)
+    for raw, plain in (("Ꭺpple", "Apple"), ("ꓮpple", "Apple"), ("раураl.com", "paypal.com"), ("ТЕSТ", "TEST"), ("Москва", "Москва"), ("конференция", "конференция"), ("гoрод", "город")):
+        assert a.rewrite(raw) == plain == a.rewrite(plain)
 
 
 def test_spam_viterbi_is_the_best_path():
     m, rng = Spam(), random.Random(3)
+    emit, move, start = m.p
+    score = lambda p, s: start[p[0]] * emit[p[0]][s[0]] * np.prod([move[a][b] * emit[b][o] for a, b, o in zip(p, p[1:], s[1:])])
     for _ in range(40):
-        s = [rng.randrange(10) for _ in range(rng.randrange(1, 6))]
-        best = max(itertools.product(range(4), repeat=len(s)), key=lambda p: START[p[0]] * EMIT[p[0]][s[0]] * np.prod([MOVE[a][b] * EMIT[b][o] for a, b, o in zip(p, p[1:], s[1:])]))
-        score = lambda p: START[p[0]] * EMIT[p[0]][s[0]] * np.prod([MOVE[a][b] * EMIT[b][o] for a, b, o in zip(p, p[1:], s[1:])])
-        assert score(m.label(s)) == pytest.approx(score(best))
+        s = [rng.randrange(12) for _ in range(rng.randrange(1, 6))]
+        best = max(itertools.product(range(4), repeat=len(s)), key=lambda p: score(p, s))
+        assert score(m.label(s), s) == pytest.approx(score(best, s))
+    assert m.label([]) == []
+
+
+def test_spam_fit_raises_the_likelihood():
+    rng = random.Random(4)
+    pages = [[rng.choice([0, 0, 0, 1, 5]) for _ in range(9)] + [rng.choice([2, 2, 4]) for _ in range(6)] for _ in range(60)]
+
+    def likelihood(m):
+        total = 0.0
+        for o in pages:
+            v = m.p[2] * m.p[0][:, o[0]]
+            for x in o[1:]:
+                total += np.log(v.sum())
+                v = (v / v.sum()) @ m.p[1] * m.p[0][:, x]
+            total += np.log(v.sum())
+        return total
+
+    new = Spam().fit(pages)
+    assert likelihood(new) > likelihood(Spam()) and np.allclose(new.p[1].sum(1), 1)
+    assert np.allclose(Spam().fit([]).p[0], Spam().p[0])
+
+
+def test_observations():
+    short = page("\n".join(f"Velo {i}" for i in range(7)))
+    assert set(observations(short)) == {NAKED} and len(observations(short, short[0])) == 8
+    assert UNLINKED in observations(page("The library opens at nine and closes at six.\nOpening hours"))
+    assert observations([]) == []
 
 
 def page(text):
@@ -134,6 +175,17 @@ def test_long_lines():
     assert not page(story + "All rights reserved.")[0].kind
 
 
+@pytest.mark.parametrize("text", ["Oops! Something went wrong. Please try again later.", "Please turn on JavaScript in your browser.", "Access denied. You don't have permission to access this resource.", "We are temporarily down for scheduled maintenance", "Checking your browser before accessing example.com", "Pagina non trovata"])
+def test_common_messages(text):
+    assert LINES.residue_in("A", page(text))
+    assert not LINES.residue_in("A", page(f"The library opens at nine and closes at six. Readers may borrow ten books at a time, and in winter it closes an hour early.\nThe old server printed “{text}” when nobody was there to see it, and the readers of the library laughed about it for a whole year afterwards."))
+
+
+@pytest.mark.parametrize("text,kind", [("Accept all", "notice"), ("Leave a reply", "prompt"), ("Powered by WordPress", "legal"), ("Subscribe to our newsletter", "prompt"), ("Copyright 2024 Harbour News Ltd", "legal"), ("Privacy Policy | Terms of Service", "legal"), ("Recent Posts", "related"), ("We accept all cards in the shop, and the staff will help you to pay.", "")])
+def test_common_phrases(text, kind):
+    assert KINDS[page(text)[0].kind] == kind
+
+
 def test_language(samples):
     m = LanguageModel(samples)
     assert m.held_out_accuracy > 0.97
@@ -164,6 +216,20 @@ def test_bodies():
         assert all(any(label[a:b]) or not any(label[a:b]) for a, b in runs)
 
 
+def test_bodies_without_listed_phrases():
+    """Sites whose phrases no list holds: what repeats on a host teaches, and shape decides on other hosts."""
+    frame = "Zum Blork\nZibber | Zabber | Zubber\n{}\nThe library opens at {} and closes at six on most days of the week.\nReaders of the town may borrow ten books, and they often do so.\nQuarn the blib\nZorp and zamp"
+    pages, hosts = [], []
+    for h in range(12):
+        for i in range(8):
+            day = f"{'abcdefghijkl'[h]}{'mnopqrst'[i]}"
+            pages.append(page(frame.format(f"Story of {day}", f"nine in the house of {day}").replace("Readers", f"Readers of {day}").replace("blib", f"blib{day[0]}")))
+            hosts.append(f"h{h}")
+    b = Bodies(pages[:64], hosts[:64])
+    label = b.label(pages[64:])
+    assert all(x[3] and x[4] for x in label) and np.mean([not (x[0] or x[1] or x[5] or x[6]) for x in label]) > 0.95
+
+
 def test_trees():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3)).astype(np.float32)
