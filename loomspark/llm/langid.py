@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 
+#: Languages of a model without samples; otherwise they are those of the labelled samples, however many.
 LANGS = ["de", "en", "es", "fr", "ja", "ru"]
 # Other spellings of language codes (ISO 639-2, both kinds) and names.
 CODES = {"eng": "en", "jpn": "ja", "jap": "ja", "jp": "ja", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "ita": "it", "zho": "zh", "chi": "zh", "por": "pt", "nld": "nl", "dut": "nl", "kor": "ko", "pol": "pl", "ukr": "uk", "english": "en", "japanese": "ja", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es", "russian": "ru"}
@@ -61,9 +62,16 @@ class LanguageModel:
     """FTRL-proximal: alpha, beta set the learning rate, l1 and l2 are the elastic net."""
 
     def __init__(self, samples: list[tuple[str, str]], alpha=1.0, beta=1.0, l1=0.003, l2=0.01, epochs=5, held_out=5):
-        rows = [(LANGS.index(lang), part, i % held_out == 0) for i, (lang, text) in enumerate(samples) if lang in LANGS and text for part in self._parts(text)]
+        samples = [(code(lang), text) for lang, text in samples]
+        self.langs = sorted({lang for lang, text in samples if lang and text}) or LANGS
+        seen: dict[str, int] = {}
+        rows = []
+        for lang, text in samples:
+            if lang and text:  # of each language one sample in held_out
+                seen[lang] = seen.get(lang, -1) + 1
+                rows += [(self.langs.index(lang), part, seen[lang] % held_out == 0) for part in self._parts(text)]
         self.temperature = 1.0
-        d, k = 1 << BITS, len(LANGS)
+        d, k = 1 << BITS, len(self.langs)
         self.weights = np.zeros((d, k), dtype=np.float32)
         if not rows:
             return
@@ -110,7 +118,7 @@ class LanguageModel:
                 right = q[np.arange(len(gold)), gold]
                 # as if one sample more had been wrong, for a faultless set would make every confidence 1
                 slip = 1 / (len(gold) + 1)
-                best.append((-((1 - slip) * right + slip * (q.sum(1) - right) / (len(LANGS) - 1)).mean(), t))
+                best.append((-((1 - slip) * right + slip * (q.sum(1) - right) / max(1, len(self.langs) - 1)).mean(), t))
             self.temperature = float(min(best)[1])
             self.held_out_accuracy = float((scores.argmax(1) == gold).mean())
 
@@ -123,7 +131,7 @@ class LanguageModel:
         return [text, *[p for p in pieces if len(p) > 12]]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(LANGS)), dtype=np.float64)
+        out = np.zeros((len(texts), len(self.langs)), dtype=np.float64)
         if not texts:
             return out
         ids, own, sizes = grams(texts)

@@ -2,16 +2,18 @@
 
 A prefix-filtered set join: the shingles (five words; in Japanese ten characters, about as
 long) of each item are ordered by how rare they are in the whole corpus; a document is a candidate
-of an item if it holds one of the item's rarest shingles, as many as any document with the
-necessary overlap must hold one of.  Candidates are verified exactly: the longest chain of
+of an item only if it holds one of the item's rarest shingles, as many as any document with the
+necessary overlap must hold one of (prefix), has words enough (length bound), and one of these shingles stands
+where enough of the item can lie before and behind it (positional bound).  No bound loses a pair.
+Only candidates are counted and verified, exactly: the longest chain of
 matching runs that keep the item's order within an item-sized window has to cover half of the
 item's words; a few changed words between two runs on one diagonal count as matched, and words that
 are replaced by others between two runs count half against the chain, so that stock phrases which
 stand in a look-alike with other words between them don't add up.  Words that only the text or only
 the item has between two runs cost nothing.
 
-The items are a table of fixed length (checked against ITEMS), so their shingles go to
-the workers; documents are never shuffled.  Nulls and empty texts or passages match
+The items go to the workers in blocks of about ITEMS, whose size is bounded by it; a longer table takes
+more passes over the documents, which are never shuffled.  Nulls and empty texts or passages match
 nothing; an item shorter than a shingle is compared as one run of its words.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .lookalikes import Lookalikes, shapes_of
 
-ITEMS = 100_000
+#: Items of a block.
+ITEMS = 5_000
 WORDS, CHARACTERS = 5, 10
 #: Part of an item's words that must stand together.
 CONTAINED = 0.5
@@ -82,17 +85,14 @@ class Items:
         return 1
 
     def rank(self, counts: np.ndarray) -> None:
-        """Sets the prefixes: for each shingle the items it is a necessary one of, and for each the items it occurs in with its places."""
-        self.prefix, self.places = defaultdict(set), defaultdict(list)
-        self.need = []
+        """Sets the prefixes: for each shingle the items it is a necessary one of."""
+        self.prefix, self.need = defaultdict(set), []
         for i, s in enumerate(self.shingles):
             own = np.unique(s)
             need = self.least(i)
             order = sorted(own.tolist(), key=lambda x: (counts[x], x))
             for x in order[: len(own) - need + 1]:
                 self.prefix[x].add(i)
-            for at, x in enumerate(s.tolist()):
-                self.places[x].append((i, at))
             self.need.append(need)
 
     def match(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -167,32 +167,43 @@ class Items:
             best = max(best, top)
         return min(best, n) / n
 
+    def candidates(self, keys: list[int], places: list[int], size: int) -> set[int]:
+        """Items of which a text of `size` words can hold `contained`, by prefix, length and position.
+
+        keys, places: the shingles of items in the text, and where they stand."""
+        out: set[int] = set()
+        for x, t in zip(keys, places):
+            for i in self.prefix.get(x, ()):
+                if i in out:
+                    continue
+                n, k = len(self.words[i]), self.size[i]
+                least = self.contained * n - 1e-9
+                if size < least:
+                    continue
+                for p in np.flatnonzero(self.shingles[i] == x).tolist():
+                    if min(p, t) + k + min(n - p - k, size - t - k) >= least:
+                        out.add(i)
+                        break
+        return out
+
     def leaks(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text the (index of item, covered part) of its candidates that share enough shingles."""
-        _, text, at, key = self.match(texts)
+        words, text, at, key = self.match(texts)
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
         bounds = np.searchsorted(text, np.arange(len(texts) + 1))
         for t in range(len(texts)):
             a, b = bounds[t], bounds[t + 1]
             if a == b:
                 continue
-            keys = key[a:b].tolist()
-            candidates = set().union(*(self.prefix.get(x, ()) for x in set(keys)))
-            if not candidates:
-                continue
-            pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            shared: Counter = Counter()
-            for x in set(keys):
-                for i in {i for i, _ in self.places[x]}:
-                    shared[i] += 1
-            good = {i for i in candidates if shared[i] >= self.need[i]}
-            if not good:
-                continue
-            for x, place in zip(keys, at[a:b].tolist()):
-                for i, p in self.places[x]:
-                    if i in good:
-                        pairs[i].append((place, p))
-            out[t] = [(i, self.covered(i, pairs[i])) for i in sorted(good)]
+            keys, places = key[a:b].tolist(), at[a:b].tolist()
+            held = set(keys)
+            for i in sorted(self.candidates(keys, places, len(words[t]))):
+                own: dict[int, list[int]] = defaultdict(list)
+                for p, x in enumerate(self.shingles[i].tolist()):
+                    if x in held:
+                        own[x].append(p)
+                if len(own) >= self.need[i]:
+                    out[t].append((i, self.covered(i, [(place, p) for x, place in zip(keys, places) for p in own.get(x, ())])))
         return out
 
 
@@ -202,23 +213,25 @@ _made: dict[str, tuple] = {}
 def _tools(key: str, shared):
     if key not in _made:
         _made.clear()
-        _made[key] = (shared.value, Lookalikes())
+        items, shapes = shared.value
+        _made[key] = (items, Lookalikes(None, shapes))
     return _made[key]
 
 
-def items_of(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
-    rows = spark.read.parquet(f"{folder}/eval_items.parquet").where("item_id is not null and passage is not null").select("item_id", "passage").distinct().orderBy("item_id").limit(ITEMS + 1).collect()
-    if len(rows) > ITEMS:
-        raise ValueError(f"more than {ITEMS} evaluation items; split them and union the results")
-    plain = Lookalikes()
-    return [(r.item_id, plain.rewrite(r.passage)) for r in rows]
+def items_of(spark: SparkSession, folder: str) -> list[list[tuple[int, str]]]:
+    """The evaluation items in normal form, in blocks of about ITEMS."""
+    rows = spark.read.parquet(f"{folder}/eval_items.parquet").where("item_id is not null and passage is not null").select("item_id", "passage").distinct()
+    blocks = -(-rows.count() // ITEMS)
+    plain = Lookalikes(None, shapes_of(spark))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "passage"), F.lit(max(1, blocks))))
+    return [[(r.item_id, plain.rewrite(r.passage)) for r in rows.where(F.col("block") == b).orderBy("item_id", "passage").collect()] for b in range(blocks)]
 
 
 def shingle_counts(texts: DataFrame, items: Items) -> np.ndarray:
     """In how many places of the corpus each shingle of the items stands: one sparse row per task, then one sum."""
     spark = texts.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(items)
+    shared = spark.sparkContext.broadcast((items, shapes_of(spark)))
     key = uuid.uuid4().hex
 
     def run(batches):
@@ -240,9 +253,18 @@ def shingle_counts(texts: DataFrame, items: Items) -> np.ndarray:
 def leaked(spark: SparkSession, folder: str, contained: float = CONTAINED) -> DataFrame:
     """(doc_id, item_id, covered): each document with each item of which at least `contained` stands in it."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").where("text is not null")
-    items = Items(items_of(spark, folder), contained)
+    schema = "doc_id long, item_id long, covered double"
+    out = None
+    for block in items_of(spark, folder):
+        part = _leaked(docs, Items(block, contained)) if block else None
+        out = part if out is None else out.unionByName(part) if part else out
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _leaked(docs: DataFrame, items: Items) -> DataFrame:
+    spark = docs.sparkSession
     items.rank(shingle_counts(docs.select("text"), items))
-    shared = spark.sparkContext.broadcast(items)
+    shared = spark.sparkContext.broadcast((items, shapes_of(spark)))
     key = uuid.uuid4().hex
 
     def run(batches):
@@ -250,7 +272,7 @@ def leaked(spark: SparkSession, folder: str, contained: float = CONTAINED) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                rows = [(i, got.ids[k], v) for i, leaks in zip(ids, got.leaks([plain.rewrite(x) for x in texts])) for k, v in leaks if v >= contained]
+                rows = [(i, got.ids[k], v) for i, leaks in zip(ids, got.leaks([plain.rewrite(x) for x in texts])) for k, v in leaks if v >= got.contained]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "covered"])
 
     return docs.mapInArrow(run, "doc_id long, item_id long, covered double")

@@ -8,6 +8,9 @@ lengths (its size is bounded by the capacities, not by the data).  As in the pla
 each worker then places its documents independently: a document's rank within its class
 gives its bin by arithmetic.
 
+The histograms go to the driver, at most CAPACITIES lengths of them: beyond that, lengths are counted in steps, rounded
+up, so that no container is overfull and nothing is left out, at the price of less than one step per document.
+
 A document longer than a container is cut into full pieces and a rest; no other document
 is split.  Null and empty texts have no tokens and lie in no container.  Limits that are
 null or below 1 are left out.
@@ -29,9 +32,9 @@ from ..session import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's public tokenizer splits text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Sum of capacities up to which the histogram and the plan are made on the driver.
+#: Lengths that the histograms of a group of limits have at most; larger capacities are counted in coarser steps.
 CAPACITIES = 2_000_000
-#: At most so many container limits are read to the driver; a longer table is refused.
+#: Limits that are planned together; more of them are packed group by group.
 LIMITS = 1_000
 
 _encoders: dict[str, object] = {}
@@ -99,13 +102,15 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], key: str = "doc_id", r
     schema = f"limit_name string, container long, {key} {sizes.schema[key].dataType.simpleString()}, piece int, tokens int"
     if not limits:
         return spark.createDataFrame([], schema)
-    if sum(c for _, c in limits) > CAPACITIES:
-        raise ValueError(f"capacities above {CAPACITIES} tokens in all need a coarser histogram")
-    names = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).alias("capacity")) for n, c in limits])
+    if len(limits) > LIMITS:
+        return pack(sizes, limits[:LIMITS], key, refined).unionByName(pack(sizes, limits[LIMITS:], key, refined))
+    steps = {n: max(1, -(-c * len(limits) // CAPACITIES)) for n, c in limits}
+    names = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).alias("capacity"), F.lit(steps[n]).alias("step")) for n, c in limits])
     pieces = (
         sizes.select(key, "tokens", F.explode(names).alias("l")).select(key, "tokens", "l.*")
-        .select(key, "limit_name", "capacity", "tokens", F.posexplode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int"))).alias("piece", "_"))
-        .select(key, "limit_name", "capacity", "piece", F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("size"))
+        .select(key, "limit_name", "capacity", "step", "tokens", F.posexplode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int"))).alias("piece", "_"))
+        .select(key, "limit_name", "capacity", "step", "piece", F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("held"))
+        .select(key, "limit_name", "piece", "held", F.least(F.ceil(F.col("held") / F.col("step")), F.floor(F.col("capacity") / F.col("step"))).cast("int").alias("size"))
     )
     histogram: dict[str, dict[int, int]] = {n: {} for n, _ in limits}
     for r in pieces.groupBy("limit_name", "size").count().collect():
@@ -113,6 +118,7 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], key: str = "doc_id", r
     rows, bin0 = [], 0
     for name, capacity in limits:
         bin0, taken = 0, {}
+        capacity //= steps[name]
         types = plan(capacity, histogram[name]) if refined else None
         if refined:
             for many, uses in types:
@@ -144,14 +150,13 @@ def pack(sizes: DataFrame, limits: list[tuple[str, int]], key: str = "doc_id", r
         .join(before, group).withColumn("rank", F.col("row") - 1 + F.col("before"))
     )
     hit = ranked.join(F.broadcast(table), ["limit_name", "size"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return hit.select("limit_name", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("uses"))).cast("long").alias("container"), key, F.col("piece").cast("int").alias("piece"), F.col("size").alias("tokens"))
+    return hit.select("limit_name", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("uses"))).cast("long").alias("container"), key, F.col("piece").cast("int").alias("piece"), F.col("held").alias("tokens"))
 
 
 def limits_of(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    rows = spark.read.parquet(f"{folder}/pack_limits.parquet").orderBy("limit_name").limit(LIMITS + 1).collect()
-    if len(rows) > LIMITS:
-        raise ValueError(f"more than {LIMITS} container limits; split them and union the results")
-    return [(r.limit_name, r.capacity_tokens) for r in rows]
+    """Names and capacities; of several capacities with one name the largest counts."""
+    rows = spark.read.parquet(f"{folder}/pack_limits.parquet").where("limit_name is not null").groupBy("limit_name").agg(F.max("capacity_tokens").alias("c")).orderBy("limit_name").toLocalIterator()
+    return [(r.limit_name, r.c) for r in rows]
 
 
 def p8_pack(spark: SparkSession, folder: str, path: str = TOKENIZER) -> DataFrame:

@@ -85,7 +85,7 @@ def repeated(pages: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame
     whole = Window.partitionBy("key", "check")  # a line has as many rows as containers
     counted = parts.withColumn("pages", F.sum("n").over(whole)).where(F.col("pages") >= least).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
     sizes = numbered.groupBy("source").agg(F.count("*").alias("urls")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    many = counted.join(sizes, ["source", "salt"]).where(F.col("pages") >= F.lit(share) * F.col("urls"))
+    many = counted.join(sizes.hint("merge"), ["source", "salt"]).where(F.col("pages") >= F.lit(share) * F.col("urls"))
     hits = many.select("key", "check", "pages", "part", F.explode(F.when(F.col("dense").isNull(), F.col("sparse")).otherwise(positions("dense"))).alias("at"))
     by_page = hits.groupBy((F.shiftleft("part", CONTAINER) + F.col("at")).alias("page")).agg(F.collect_list(F.struct("key", "check", "pages")).alias("hits"))
     found = numbered.select("page", "host", "url", "nos", "keys", "checks").join(by_page, "page")

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import packing, pages, queries, repeats
+from loomspark.llm import leaks, packing, pages, queries, repeats
 from loomspark.llm.pages import link_counts
 
 DOCS = "doc_id long, url string, title string, content string, text string, lang string, source string, n_chars long, indexed_at timestamp_ntz"
@@ -141,14 +141,43 @@ def test_outgoing_links_are_distinct_pages(spark):
     assert sorted((r.link_src, r.outgoing) for r in got.collect()) == [(a, 3), (b, 1)]
 
 
-def test_longer_tables_are_refused(spark, tmp_path, monkeypatch):
-    folder = write(spark, tmp_path, {"lang_samples": [(i, "en", f"text {i}") for i in range(4)], "pack_limits": [(f"l{i}", 100 + i) for i in range(4)]})
+def test_longer_sample_tables_are_refused(spark, tmp_path, monkeypatch):
+    folder = write(spark, tmp_path, {"lang_samples": [(i, "en", f"text {i}") for i in range(4)]})
     monkeypatch.setattr(pages, "SAMPLES", 4)
-    monkeypatch.setattr(packing, "LIMITS", 4)
-    assert len(pages.samples_of(spark, folder)) == 4 and len(packing.limits_of(spark, folder)) == 4
+    assert len(pages.samples_of(spark, folder)) == 4
     monkeypatch.setattr(pages, "SAMPLES", 3)
-    monkeypatch.setattr(packing, "LIMITS", 3)
     with pytest.raises(ValueError):
         pages.samples_of(spark, folder)
-    with pytest.raises(ValueError):
-        packing.limits_of(spark, folder)
+
+
+def test_more_limits_and_coarse_capacities(spark, tmp_path, monkeypatch):
+    folder = write(spark, tmp_path, {"pack_limits": [(f"l{i}", 40 + i) for i in range(5)] + [("l0", 7), (None, 3)]})
+    limits = packing.limits_of(spark, folder)
+    assert limits == [(f"l{i}", 40 + i) for i in range(5)]
+    monkeypatch.setattr(packing, "LIMITS", 2)
+    monkeypatch.setattr(packing, "CAPACITIES", 30)  # steps of three tokens
+    sizes = spark.createDataFrame([(i, 1 + (i * 37) % 90) for i in range(200)], "doc_id long, tokens int")
+    rows = packing.pack(sizes, limits).collect()
+    for name, capacity in limits:
+        full, whole = defaultdict(int), defaultdict(int)
+        for r in (r for r in rows if r.limit_name == name):
+            full[r.container] += r.tokens
+            whole[r.doc_id] += r.tokens
+        assert max(full.values()) <= capacity and dict(whole) == {r.doc_id: r.tokens for r in sizes.collect()}
+
+
+def test_item_blocks_find_the_same(spark, folder, monkeypatch, data):
+    whole = {tuple(r) for r in queries.queries()["p9_found"](spark, data).collect()}
+    monkeypatch.setattr(leaks, "ITEMS", 150)
+    assert len(leaks.items_of(spark, data)) == 3
+    assert {tuple(r) for r in queries.queries()["p9_found"](spark, data).collect()} == whole != set()
+
+
+def test_another_language(spark, tmp_path, samples):
+    """A seventh language is one of the samples' languages, not left out; a line of two words is judged too."""
+    words = ["la biblioteca apre alle nove", "i lettori prendono dieci libri", "gli orari della città sono questi", "ogni giorno il sindaco scrive una lettera", "perché la strada è chiusa"]
+    more = [(9000 + i, "it", f"{words[i % 5]}, {words[(i * 2 + 1) % 5]} e {words[(i * 3 + 2) % 5]}.") for i in range(60)]
+    text = "La biblioteca apre alle nove e i lettori prendono dieci libri. Ogni giorno il sindaco scrive una lettera perché la strada è chiusa."
+    docs = [(1, "https://a.example/1", "Orari della biblioteca", text, text, "en", "a.example", 9, None)]
+    folder = write(spark, tmp_path, {"documents": docs, "lang_samples": samples + more})
+    assert found(spark, folder, "p3_found") == {(1, 0, "it")}
