@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import cut
+from ..session import cut, cut_bucketed
 from .tables import max_normalized
 
 
@@ -50,24 +50,26 @@ def referring_counts(keys: DataFrame, pairs: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edge: DataFrame, iterations: int = 20, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(url, score), divided by the maximum; the mass of dangling nodes is spread over all nodes.
 
-    Nodes get numbers, so that iterations move 16 bytes a row; each iteration is written
-    once and its mass and change are observed while it is written."""
+    Nodes get numbers, so that iterations move 16 bytes a row.  Edges are written once in buckets of their source, scores in the same
+    buckets, so that an iteration shuffles the gains only, summed up before; its mass and change are observed while it is written."""
     ids = cut(nodes.select("url").distinct().withColumn("id", F.monotonically_increasing_id()))
     n = ids.count()
     if not n:
         return ids.select("url", F.lit(0.0).alias("score"))
     out = edge.groupBy("src").agg(F.count("*").alias("d"))
-    graph = cut(
-        edge.join(out, "src").join(ids.select(F.col("url").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("url").alias("dst"), F.col("id").alias("t")), "dst").select("s", "t", (1.0 / F.col("d")).alias("w"))
-    )
+    buckets = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    graph = cut_bucketed(
+        edge.join(out, "src").join(ids.select(F.col("url").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("url").alias("dst"), F.col("id").alias("t")), "dst").select("s", "t", (1.0 / F.col("d")).alias("w")),
+        "s", buckets,
+    )
     sources = graph.select(F.col("s").alias("id")).distinct().withColumn("linked", F.lit(True))
-    scores = cut(ids.select("id").join(sources, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("score")))
+    scores = cut_bucketed(ids.select("id").join(sources, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("score")), "id", buckets)
     lost = scores.agg(F.sum(F.when(~F.col("linked"), F.col("score")))).head()[0] or 0.0
     for _ in range(iterations):
         moved = graph.join(scores.select(F.col("id").alias("s"), "score"), "s").groupBy(F.col("t").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("gain"))
         seen = Observation()
         new = scores.join(moved, "id", "left").select("id", "linked", F.col("score").alias("old"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("gain", F.lit(0.0))).alias("score"))
-        scores = cut(new.observe(seen, F.sum(F.abs(F.col("score") - F.col("old"))).alias("change"), F.sum(F.when(~F.col("linked"), F.col("score"))).alias("lost")).drop("old"))
+        scores = cut_bucketed(new.observe(seen, F.sum(F.abs(F.col("score") - F.col("old"))).alias("change"), F.sum(F.when(~F.col("linked"), F.col("score"))).alias("lost")).drop("old"), "id", buckets)
         lost, change = seen.get["lost"] or 0.0, seen.get["change"] or 0.0
         if change < tolerance:
             break

@@ -10,17 +10,23 @@ from ..functions import text as T
 from ..functions import urls as U
 
 
+# Fixed value: what stands between the sides of a comparison.
+VERSUS = r"\s+(?:vs|versus)\s+"
+
+
 def prefixes(query: Column, most: int = 8) -> Column:
     """The first one to `most` words of a query: what an alias of so many words may equal."""
     words = F.split(query, " ")
     return F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most))), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
 
 
-def match_alias(queries: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
+def match_alias(queries: DataFrame, aliases: DataFrame, most: int | None = None) -> DataFrame:
     """(query_id, query, source, alias, rest): the longest alias that a query equals or starts with, by whole words.
 
     Exploding a query's few prefixes makes the theta join an equi join.  queries: query_id, query (normalised); aliases:
-    source, alias.  Ties go to the smaller source.  `most`: words of the longest alias."""
+    source, alias.  Ties go to the smaller source.  `most`: words of the longest alias; looked up if it isn't given."""
+    if most is None:
+        most = aliases.agg(F.max(F.size(F.split("alias", " ")))).head()[0] or 1
     hit = queries.select("query_id", "query", F.explode(prefixes(F.col("query"), most)).alias("alias")).join(aliases, "alias")
     best = hit.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("alias")), "source"))).where("_n = 1").drop("_n")
     return best.select("query_id", "query", "source", "alias", F.trim(F.substring(F.col("query"), F.length("alias") + 1, F.length("query"))).alias("rest"))
@@ -28,7 +34,7 @@ def match_alias(queries: DataFrame, aliases: DataFrame, most: int = 8) -> DataFr
 
 def comparison(query: Column) -> Column:
     """The two sides of `a vs b`; null where there aren't two different ones."""
-    parts = F.split(query, r"\s+(?:vs|versus)\s+", 2)
+    parts = F.split(query, VERSUS, 2)
     left, right = F.trim(F.get(parts, 0)), F.trim(F.get(parts, 1))
     return F.when((left != "") & (right != "") & (left != right), F.array(left, right))
 

@@ -22,9 +22,10 @@ K1, B, TITLE, CANDIDATES = 1.2, 0.75, 3.0, 200
 VOCABULARY = 20_000
 
 
-def index_documents(pages: DataFrame) -> DataFrame:
-    """Index row of each page: bounded content and analysed terms; excluded pages are left out by the caller."""
+def index_documents(pages: DataFrame, *more: str) -> DataFrame:
+    """Index row of each page: bounded content and analysed terms, and further columns; excluded pages are left out by the caller."""
     return pages.select(
+        *more,
         F.when(F.octet_length("url") <= 512, F.col("url")).otherwise(F.sha2("url", 256)).alias("id"),
         "url", U.host("url").alias("host"), F.when(U.path("url") == "", "/").otherwise(U.path("url")).alias("path"),
         F.coalesce("title", F.lit("")).alias("title"), F.substring(F.coalesce("content", F.lit("")), 1, 20000).alias("content"),

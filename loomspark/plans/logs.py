@@ -158,8 +158,11 @@ def distinct_clicks(spark, d):
 @query("select c.event_id as click_id, v.event_id as view_id, date_diff('second', v.ts, c.ts) as after_s from events c join events v on c.user_id = v.user_id and v.event_type = 'view' and c.event_type = 'click' and v.ts <= c.ts and v.ts > c.ts - interval 1 hour")
 def clicks_after_views(spark, d):
     e = table(spark, d, "events")
-    c, v = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("c")), e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("v"))
-    near = c.join(v, "user_id").where("v <= c and v > c - interval 1 hour")
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    # the hour is a second key: a view lies in the hour of its click or in the one before
+    c = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("c"), F.explode(F.array(hour, hour - 1)).alias("hour"))
+    v = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("v"), hour.alias("hour"))
+    near = c.join(v, ["user_id", "hour"]).where("v <= c and v > c - interval 1 hour")
     second = lambda x: F.unix_seconds(F.date_trunc("second", F.col(x).cast("timestamp")))
     return near.select("click_id", "view_id", (second("c") - second("v")).alias("after_s"))
 
@@ -174,10 +177,10 @@ def event_properties(spark, d):
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
-@query("select array_to_string(regexp_extract_all(lower(query), '[a-z0-9]+'), ' ') as q, string_agg(distinct suite, ',' order by suite) as suites, count(*) as n from eval_items group by 1 order by n desc, q limit 100")
+@query("select array_to_string(regexp_extract_all(lower(query), '[a-z0-9]+'), ' ') as q, string_agg(distinct suite, ',' order by suite) as suites, count(*) as n from eval_items group by 1 order by n desc, count(distinct suite) desc, q limit 100")
 def query_candidates(spark, d):
     q = F.array_join(X.query_tokens("query"), " ").alias("q")
-    return table(spark, d, "eval_items").groupBy(q).agg(F.array_join(F.array_sort(F.collect_set("suite")), ",").alias("suites"), F.count("*").alias("n")).orderBy(F.desc("n"), "q").limit(100)
+    return table(spark, d, "eval_items").groupBy(q).agg(F.array_join(F.array_sort(F.collect_set("suite")), ",").alias("suites"), F.count("*").alias("n")).orderBy(F.desc("n"), F.desc(F.size(F.split("suites", ","))), "q").limit(100)
 
 
 @query("(select event_type as kind, user_id, count(*) as n from events where event_type = 'click' group by all order by n desc, user_id limit 10) union all (select event_type, user_id, count(*) as n from events where event_type = 'error' group by all order by n desc, user_id limit 10)")

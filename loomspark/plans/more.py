@@ -153,9 +153,11 @@ def stream_status_windows(spark, d):
     stream = S.timed(spark.readStream.schema(logs.schema).parquet(f"{d}/crawl_logs.parquet*"))
     folder = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
+    def keep(batch, batch_id):  # a batch that runs again replaces itself
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    q = S.status_windows(stream).writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    # changed windows only; those behind the watermark leave the state
+    q = S.status_windows(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "status", "attempts")
+    last = spark.read.parquet(f"{folder}/out").groupBy("start", "status").agg(F.max_by("attempts", "batch").alias("attempts"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "status", "attempts")

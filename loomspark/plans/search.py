@@ -14,27 +14,29 @@ from ..operators import snippets as S
 from ..operators import vectors as V
 from .tables import HOST, query, table
 
-STEPS = 8
+#: Iterations at most.
+STEPS = 20
 
 
 def _rank_sql(nodes: str, edges: str, steps: int = STEPS) -> str:
-    """A fixed number of iterations, unrolled."""
+    """The iterations, unrolled; once the change is below the tolerance scores stay."""
     parts = [
         f"nodes as materialized ({nodes})", f"edges as materialized ({edges})",
         "outs as materialized (select src, count(*) as d from edges group by src)",
-        "n as (select count(*) as n from nodes)", "r0 as (select url, 1.0::double / n as score from nodes, n)",
+        "n as materialized (select count(*) as n from nodes)", "r0 as materialized (select url, 1.0::double / n as score from nodes, n)", "d0 as (select false as done)",
     ]
     for k in range(steps):
         parts.append(f"g{k} as (select e.dst as url, sum(r.score / o.d) as gain from edges e join outs o on e.src = o.src join r{k} r on r.url = e.src group by e.dst)")
         parts.append(f"l{k} as (select coalesce(sum(score), 0) as lost from r{k} where url not in (select src from outs))")
-        parts.append(f"r{k + 1} as materialized (select r.url, 0.15 / n + 0.85 * (coalesce(g.gain, 0) + lost / n) as score from r{k} r left join g{k} g on r.url = g.url, n, l{k})")
+        parts.append(f"r{k + 1} as materialized (select r.url, case when done then r.score else 0.15 / n + 0.85 * (coalesce(g.gain, 0) + lost / n) end as score from r{k} r left join g{k} g on r.url = g.url, n, l{k}, d{k})")
+        parts.append(f"d{k + 1} as materialized (select (select done from d{k}) or sum(abs(a.score - b.score)) < 1e-6 as done from r{k + 1} a join r{k} b using (url))")
     return "with " + ",\n".join(parts) + f"\nselect url, round(score / (select max(score) from r{steps}), 6) as score from r{steps}"
 
 
 @query(_rank_sql("select distinct url from documents", "select distinct src, dst from links where src <> dst and src in (select url from documents) and dst in (select url from documents)"))
 def pagerank_pages(spark, d):
     nodes = table(spark, d, "documents").select("url").distinct()
-    return G.pagerank(nodes, G.page_edges(table(spark, d, "links"), nodes), STEPS, tolerance=0.0).select("url", F.round("score", 6).alias("score"))
+    return G.pagerank(nodes, G.page_edges(table(spark, d, "links"), nodes)).select("url", F.round("score", 6).alias("score"))
 
 
 _PAIRS = f"select distinct {HOST.format('src')} as src, {HOST.format('dst')} as dst from links"
@@ -43,7 +45,7 @@ _PAIRS = f"select distinct {HOST.format('src')} as src, {HOST.format('dst')} as
 @query(_rank_sql(f"select distinct url from (select src as url, dst from ({_PAIRS}) where src <> '' and dst <> '' union all select dst, src from ({_PAIRS}) where src <> '' and dst <> '')", f"select src, dst from ({_PAIRS}) where src <> dst and src <> '' and dst <> ''"))
 def pagerank_domains(spark, d):
     nodes, edges = G.domain_edges(table(spark, d, "links"))
-    return G.pagerank(nodes, edges, STEPS, tolerance=0.0).select("url", F.round("score", 6).alias("score"))
+    return G.pagerank(nodes, edges).select("url", F.round("score", 6).alias("score"))
 
 
 @query("select url, round(coalesce(max(page_rank), 0), 5)::double as page_rank, round(coalesce(max(domain_rank), 0), 5)::double as domain_rank from search_index group by url")
@@ -102,9 +104,9 @@ def bm25_boosted(spark, d):
     return R.search(table(spark, d, "search_index"), "garden planner", 50, hosts=("daily.harbourlight.example",), paths=("/docs",))
 
 
-@query(f"with {DOCS}, p as (select 'title' as field, url, unnest(t) as term from docs union all select 'content', url, unnest(c) from docs) select field, term, count(distinct url) as documents, count(*) as occurrences from p group by all order by documents desc, field, term limit 200")
+@query(f"with {DOCS}, p as (select 'title' as field, url, unnest(t) as term from docs union all select 'content', url, unnest(c) from docs) select field, term, count(distinct url) as documents, count(*) as occurrences from p group by all")
 def term_statistics(spark, d):
-    return R.term_statistics(table(spark, d, "search_index")).select("field", "term", "documents", "occurrences").orderBy(F.desc("documents"), "field", "term").limit(200)
+    return R.term_statistics(table(spark, d, "search_index")).select("field", "term", "documents", "occurrences")
 
 
 MANY = f"""{DOCS},

@@ -128,8 +128,9 @@ select case when octet_length(encode(url)) <= 512 then url else sha256(url) end
 coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') as path, coalesce(title, '') as title, length(substr(coalesce(content, ''), 1, 20000)) as chars from newest"""
 )
 def index_projection(spark, d):
-    newest = T.last_per_key(table(spark, d, "documents").select("url", "doc_id", "title", "content"), ["url"], ["doc_id"])
-    return R.index_documents(newest).select("id", "host", "path", "title", F.length("content").cast("long").alias("chars"))
+    # bounded before the shuffle
+    rows = R.index_documents(table(spark, d, "documents"), "doc_id").drop("title_terms", "content_terms")
+    return T.last_per_key(rows, ["url"], ["doc_id"]).select("id", "host", "path", "title", F.length("content").cast("long").alias("chars"))
 
 
 @query("select (select count(distinct url) from documents) as documents, (select count(distinct url) from search_index) as indexed, (select count(distinct url) from documents where url not in (select url from search_index)) as missing, (select count(distinct url) from search_index where url not in (select url from documents)) as orphans")

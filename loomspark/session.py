@@ -29,9 +29,11 @@ def build_session(name: str = "loomspark", **conf) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder[7:], True)
@@ -41,17 +43,38 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and returns what was written, without df's lineage."""
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"loomspark-{uuid.uuid4().hex}")
+    path = new_path(spark)
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, name: str = "loomspark") -> str:
+    """A path in the shared folder that goes when the driver ends, on whatever file system."""
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    if path.startswith("file:") or "://" not in path:
+        _made.append(path)
+    else:
+        file_system(spark, path)[0].deleteOnExit(file_system(spark, path)[1])
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def cut_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like `cut`, written in buckets of a column, so that joins and aggregations by it need no shuffle."""
+    spark, name = df.sparkSession, f"loomspark_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", new_path(spark)).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 @atexit.register
 def _clean() -> None:
     for path in _made:
-        if path.startswith("file:") or "://" not in path:
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def ship(spark: SparkSession) -> None:

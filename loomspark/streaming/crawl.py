@@ -14,8 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls as U
 from ..operators.crawl import ERRORS
+from ..session import file_system
 
-STATE = "next_request_at long, backoff_until long, fail_streak int"
+STATE = "next_request_at long, backoff_until long, fail_streak int, seen long"
 DOMAIN = "domain string, next_request_at long, backoff_until long, fail_streak int"
 
 
@@ -68,32 +69,55 @@ def backoff(state: tuple, rows: list[tuple[int, bool]], delay: float = 1.0) -> t
     return next_at, until, streak
 
 
-def domain_states(results: DataFrame, delay: float = 1.0) -> DataFrame:
-    """The state machine of each domain over a stream of (domain, at, ok); one row per domain and batch."""
+def domain_states(results: DataFrame, delay: float = 1.0, expires: str = "30 days") -> DataFrame:
+    """The state machine of each domain over a stream of (domain, at, ok); one row per domain and batch.
+
+    Results older than the last one seen come too late to change the state.  A domain without results for `expires` is forgotten."""
+    days = int(expires.split()[0])
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else (None, None, 0)
-        rows = sorted((int(a), bool(o)) for p in parts for a, o in zip(p["at"], p["ok"]))
-        new = backoff(old, rows, delay)
-        state.update(new)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *old, seen = state.get if state.exists else (None, None, 0, 0)
+        rows = sorted((int(a), bool(o)) for p in parts for a, o in zip(p["at"], p["ok"]) if a >= seen)
+        new = backoff(tuple(old), rows, delay)
+        state.update((*new, max([seen, *(a for a, _ in rows)])))
+        state.setTimeoutDuration(days * 86_400_000)
         yield pd.DataFrame([(key[0], *new)], columns=["domain", "next_request_at", "backoff_until", "fail_streak"]).astype({"next_request_at": "Int64", "backoff_until": "Int64", "fail_streak": "int32"})
 
-    return results.groupBy("domain").applyInPandasWithState(step, DOMAIN, STATE, "update", GroupStateTimeout.NoTimeout)
+    return results.groupBy("domain").applyInPandasWithState(step, DOMAIN, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def versions(spark, path: str) -> list[int]:
+    """Complete versions of a table kept by upsert_sink, on any file system."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath() for f in fs.listStatus(p)]
+    done = [x.getName() for x in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x[2:]) for x in done if x.startswith("v="))
+
+
+def current(spark, path: str) -> DataFrame:
+    """The newest complete version."""
+    return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
 
 
-def upsert_sink(path: str, keys: list[str], order: list[str]):
-    """For foreachBatch: keeps the last writer of each key in a Parquet table, written beside the old one and swapped in."""
-    import os
-    import shutil
+def upsert_sink(path: str, keys: list[str], order: list[str], keep: int = 2):
+    """For foreachBatch: keeps the last writer of each key.
 
+    Each batch writes a version of its own beside the last one; a version counts once its _SUCCESS mark stands, so readers never see
+    half of it, a batch that runs again replaces its own, and nothing is renamed.  `keep` versions stay."""
     from ..operators.tables import upsert
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, new = batch.sparkSession, f"{path}.{batch_id}"
-        shutil.rmtree(new, ignore_errors=True)
-        old = spark.read.parquet(path) if os.path.exists(path) else spark.createDataFrame([], batch.schema)
-        upsert(old, batch, keys, order).write.parquet(new)
-        shutil.rmtree(path, ignore_errors=True)
-        os.rename(new, path)
+        spark = batch.sparkSession
+        before = [v for v in versions(spark, path) if v < batch_id]
+        old = spark.read.parquet(f"{path}/v={before[-1]}") if before else spark.createDataFrame([], batch.schema)
+        upsert(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        for v in before[: max(0, len(before) + 1 - keep)]:
+            fs, p = file_system(spark, f"{path}/v={v}")
+            fs.delete(p, True)
 
     return write

@@ -42,4 +42,4 @@ def test_upsert(spark, tmp_path):
     write = S.upsert_sink(str(tmp_path / "t"), ["k"], ["at"])
     write(df, 0)
     write(spark.createDataFrame([("a", 1, "late"), ("b", 1, "z")], df.schema), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [("a", 2, "y"), ("b", 1, "z")]
+    assert sorted(map(tuple, S.current(spark, str(tmp_path / "t")).collect())) == [("a", 2, "y"), ("b", 1, "z")]
