@@ -58,7 +58,7 @@ def retry_delay(attempt, base: float = 1.0, most: float = 3600.0) -> Column:
 
 
 def minimum_should_match(count: int) -> int:
-    """How many of so many terms a document must hold."""
+    """How many of so many terms a document must hold.  Fixed values: all of two, 60 % of five, else 50 %."""
     return count if count <= 2 else count * 60 // 100 if count <= 5 else count * 50 // 100
 
 
@@ -76,12 +76,31 @@ class ParsedQuery:
 
 
 def parse_query(raw: str) -> ParsedQuery:
-    """Takes out site:, -"…", "…" and -term, in this order; the last site: counts."""
-    found: dict[str, list[str]] = {}
-    for name, pattern in (("site", r"(?i)(?<!\S)site:(\S+)"), ("no_phrase", r'(?<!\S)-"([^"]+)"'), ("phrase", r'"([^"]+)"'), ("no_term", r"(?<!\S)-(\S+)")):
-        found[name] = [x.strip() for x in re.findall(pattern, raw)]
-        raw = re.sub(pattern, " ", raw)
-    return ParsedQuery(" ".join(raw.split()), found["site"][-1].lower() if found["site"] else None, tuple(filter(None, found["phrase"])), tuple(filter(None, found["no_term"])), tuple(filter(None, found["no_phrase"])))
+    """One pass over the query: `site:` words (the last counts), phrases in quotation marks and, after a minus that opens a word, what to leave out."""
+    site, plain, at = None, [], 0
+    found: dict[tuple[bool, bool], list[str]] = {}  # (left out, a phrase)
+    fresh = True  # does a word begin here?
+    while at < len(raw):
+        c, minus = raw[at], fresh and raw[at] == "-"
+        start = at + minus
+        end = raw.find('"', start + 1) if raw[start : start + 1] == '"' else -1
+        if end > start + 1:
+            found.setdefault((minus, True), []).append(raw[start + 1 : end].strip())
+            plain.append(" ")
+            at, fresh = end + 1, True
+            continue
+        word = re.match(r'[^\s"]+', raw[start:]) if fresh else None
+        if word and minus:
+            found.setdefault((True, False), []).append(word.group())
+            at, fresh = start + word.end(), False
+        elif word and word.group().lower().startswith("site:") and (whole := re.match(r"\S+", raw[at + 5 :])):
+            site = whole.group().lower()
+            at, fresh = at + 5 + whole.end(), False
+        else:
+            plain.append(c)
+            at, fresh = at + 1, c.isspace()
+    get = lambda *k: tuple(filter(None, found.get(k, [])))
+    return ParsedQuery(" ".join("".join(plain).split()), site, get(False, True), get(True, False), get(True, True))
 
 
 def strip_question(text: str) -> str:

@@ -122,10 +122,23 @@ def boosts(hosts=(), paths=(), host_boost=3.0, exact=5.0, prefix=4.0, homepage=6
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(term, url, field, tf, length) of all documents."""
-    docs = _prepared(index)
-    both = docs.select("url", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("_t").alias("terms")), F.struct(F.lit("content").alias("field"), F.col("_c").alias("terms")))).alias("f"))
-    return both.select("url", "f.field", F.size("f.terms").alias("length"), F.explode("f.terms").alias("term")).groupBy("term", "url", "field").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """(term, url, field, tf) of all documents.
+
+    No text is moved: each row's tokens are counted where the row is, and rows that repeat a url and its texts, which have one
+    fingerprint, are told from repeated tokens by their number.  Of versions of a url with other texts the larger count holds."""
+    t, c = T.terms(F.coalesce("title_terms", F.lit(""))), T.terms(F.coalesce("content_terms", F.lit("")))
+    rows = index.select("url", F.xxhash64("title_terms", "content_terms").alias("_v"), t.alias("_t"), c.alias("_c"))
+    copies = index.groupBy("url", F.xxhash64("title_terms", "content_terms").alias("_v")).agg(F.count("*").alias("_n"))
+    token = lambda f: lambda x: F.struct(F.lit(f).alias("field"), x.alias("term"))
+    each = rows.select("url", "_v", F.explode(F.concat(F.transform("_t", token("title")), F.transform("_c", token("content")))).alias("x")).groupBy("url", "_v", "x.field", "x.term").agg(F.count("*").alias("tf"))
+    once = each.join(copies, ["url", "_v"]).withColumn("tf", F.expr("tf div _n"))
+    return once.groupBy("term", "url", "field").agg(F.max("tf").alias("tf"))
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    """(url, len_t, len_c): terms of each document's fields, one row per url."""
+    t, c = T.terms(F.coalesce("title_terms", F.lit(""))), T.terms(F.coalesce("content_terms", F.lit("")))
+    return index.select("url", F.size(t).alias("len_t"), F.size(c).alias("len_c")).groupBy("url").agg(F.max("len_t").alias("len_t"), F.max("len_c").alias("len_c"))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:

@@ -88,3 +88,67 @@ def merge_schema(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 def row_numbers(df: DataFrame, partition: list[str], order: list, name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+
+
+def footer_rows(spark, path: str) -> DataFrame:
+    """(n): rows of a Parquet table by the footers of its files, read by the tasks; no column is scanned."""
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+    def count(parts):
+        from pyarrow import fs, parquet
+
+        for p in parts:
+            sizes = []
+            for name in p["path"]:
+                # Spark writes file: where others write file://
+                system, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if not name.startswith("file://") and name.startswith("file:") else name)
+                with system.open_input_file(at) as f:
+                    sizes.append(parquet.ParquetFile(f).metadata.num_rows)
+            yield pd.DataFrame({"n": sizes})
+
+    return files.mapInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replaces a Parquet table as a whole; the old one stays until the new one is complete."""
+    from ..session import file_system
+
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs, old = file_system(df.sparkSession, path)
+    fs.delete(old, True)
+    fs.rename(file_system(df.sparkSession, f"{path}.new")[1], old)
+
+
+def append(df: DataFrame, path: str, batch: str) -> None:
+    """Appends a named batch to a Parquet log; a batch that is tried again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def rebuild(rows: DataFrame, key: str, path: str, parts: int, until: int | None = None) -> int:
+    """Writes rows in so many parts by the hash of a key and skips those that are complete; returns how many it wrote.
+
+    `until` ends it early, as when it is broken off."""
+    from ..session import file_system
+
+    spark, done = rows.sparkSession, 0
+    for k in range(parts if until is None else until):
+        fs, mark = file_system(spark, f"{path}/part={k}/_SUCCESS")
+        if not fs.exists(mark):
+            rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k).write.mode("overwrite").parquet(f"{path}/part={k}")
+            done += 1
+    return done
+
+
+def bulk_write(existing: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(new snapshot, one row with `written`): rows of the batch replace those with their key; a row with a null key isn't written."""
+    good = batch.where(F.col(key).isNotNull())
+    return existing.join(good.select(key), key, "left_anti").unionByName(good, allowMissingColumns=True), good.agg(F.count("*").alias("written"))
+
+
+def bulk_delete(existing: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new snapshot, one row with `deleted` keys, one with `ignored` keys that nothing has)."""
+    gone = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    held = gone.join(existing.select(key), key, "left_semi")
+    return existing.join(gone, key, "left_anti"), held.agg(F.count("*").alias("deleted")), gone.join(existing.select(key), key, "left_anti").agg(F.count("*").alias("ignored"))

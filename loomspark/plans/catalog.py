@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import logs, more, policy, search, tables  # noqa: F401
+from . import extra, logs, more, policy, search, tables  # noqa: F401
 from .tables import QUERIES, SQL
 
 FLAGSHIP = "pagerank_pages"

@@ -12,6 +12,8 @@ from ..operators import ranking as K
 from ..operators import retrieval as R
 from ..operators import snippets as S
 from ..operators import vectors as V
+from ..operators.postings import Postings
+from ..session import new_path
 from .tables import HOST, query, table
 
 #: Iterations at most.
@@ -79,6 +81,12 @@ def bm25_search(spark, d):
     return R.search(table(spark, d, "search_index"), "reliable sensor log", 50)
 
 
+@query("select url, score from (" + _bm25_sql(["reliable", "sensor", "log"], limit=50) + ")")
+def bm25_postings(spark, d):
+    """The same from a stored inverted index, of which only the query's terms are read."""
+    return Postings.build(table(spark, d, "search_index"), new_path(spark, "postings")).search("reliable sensor log", 50)
+
+
 @query(_bm25_sql(["bakery", "order", "form", "garden", "planner", "visitor"], limit=50))
 def bm25_many_words(spark, d):
     return R.search(table(spark, d, "search_index"), "Bakery order form garden planner visitor", 50)
