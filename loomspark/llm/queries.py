@@ -1,4 +1,4 @@
-"""Queries of the training-data operators.  None has an SQL form; tests/llm holds each against brute force."""
+"""Queries of the training-data operators.  Only repeated lines have an SQL form; tests/llm holds the others against brute force, round trips or held-out labels."""
 
 from __future__ import annotations
 
@@ -53,7 +53,7 @@ def queries():
 
 
 def oracle_sql():
-    return {"p6_found": P6_SQL}
+    return {"p6_found": P6_SQL, "p6_clean": P6_CLEAN}
 
 
 # The exact definition of problem 6 in SQL.
@@ -72,3 +72,8 @@ select distinct kept.url, cast(kept.line_no as integer) as line_no
 from kept join counts using (host, k) join hosts using (host)
 where n >= 3 and n >= 0.05 * urls
 """
+
+# The contents without these lines.
+P6_CLEAN = f"""with f as ({P6_SQL.strip()}), gone as (select url, list(line_no) as no from f group by url), p as (select distinct host, url, content from search_index),
+c as (select p.url, content, array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: not list_contains(coalesce(no, []), i)), chr(10)) as clean from p left join gone using (url))
+select url, length(content) as chars, length(clean) as clean_chars, sha256(clean) as clean_sha from c"""
