@@ -40,10 +40,10 @@ def recent_rates(spark, d):
     return logs.where(F.col("created_at") >= _now(logs) - 7 * DAY).agg(F.count("*").alias("attempts"), F.count_if(F.col("status").isin(*C.ERRORS)).alias("errors"))
 
 
-@query(f"select {HOST.format('url')} as domain, count(*) as n from crawl_logs where created_at >= {LATE} - 30 * {DAY} and status = 'blocked' and error_message = 'robots' group by 1 having count(*) >= 3 and {HOST.format('url')} <> '' order by n desc, domain")
+@query(f"select {HOST.format('url')} as domain, count(*) as n from crawl_logs where created_at >= {LATE} - 200 * {DAY} and status = 'blocked' and error_message = 'robots' group by 1 having count(*) >= 3 and {HOST.format('url')} <> '' order by n desc, domain")
 def robots_blocked_domains(spark, d):
     logs = table(spark, d, "crawl_logs")
-    return C.blocked_domains(logs, _now(logs) - 30 * DAY).orderBy(F.desc("n"), "domain")
+    return C.blocked_domains(logs, _now(logs) - 200 * DAY).orderBy(F.desc("n"), "domain")
 
 
 @query(f"select {HOST.format('url')} as domain, count(*) as total, count(*) filter (status in ({_sql_list(C.ERRORS)}, 'blocked')) as errors, round(count(*) filter (status in ({_sql_list(C.ERRORS)}, 'blocked')) * 100 / count(*), 1) as error_rate from crawl_logs where created_at >= {LATE} - 60 * {DAY} group by 1 having total >= 5 and errors > 0 and domain <> '' order by error_rate desc, errors desc, domain limit 20")

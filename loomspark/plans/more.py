@@ -85,18 +85,18 @@ def queue_rest(spark, d):
     return T.take(queue, chosen, "url_hash")[1].groupBy("domain").agg(F.count("*").alias("waiting"))
 
 
-@query(f"with {L.QUEUE}, {L.STATES}, {POP} select url from pop where domain not in (select {HOST.format('url')} from crawl_logs where created_at >= {L.LATE} - 30 * {L.DAY} and status = 'blocked' and error_message = 'robots' group by 1 having count(*) >= 3) and not ends_with(domain, '.invalid')")
+@query(f"with {L.QUEUE}, {L.STATES}, {POP} select url from pop where domain not in (select {HOST.format('url')} from crawl_logs where created_at >= {L.LATE} - 200 * {L.DAY} and status = 'blocked' and error_message = 'robots' group by 1 having count(*) >= 3) and not ends_with(domain, '.invalid')")
 def planned_urls(spark, d):
     """The popped tasks without those of hosts that are denied or block often."""
     logs = table(spark, d, "crawl_logs")
-    blocked = C.blocked_domains(logs, L._now(logs) - 30 * L.DAY).select("domain").unionByName(spark.createDataFrame([("invalid",)], "domain string")).distinct()
+    blocked = C.blocked_domains(logs, L._now(logs) - 200 * L.DAY).select("domain").unionByName(spark.createDataFrame([("invalid",)], "domain string")).distinct()
     return C.denied(L.queue_pop(spark, d), blocked, F.col("domain")).select("url")
 
 
-@query(f"select {HOST.format('url')} as domain from crawl_logs where created_at >= {L.LATE} - 30 * {L.DAY} and status = 'blocked' and error_message = 'robots' group by 1 having count(*) >= 3 union select 'invalid'")
+@query(f"select {HOST.format('url')} as domain from crawl_logs where created_at >= {L.LATE} - 200 * {L.DAY} and status = 'blocked' and error_message = 'robots' group by 1 having count(*) >= 3 union select 'invalid'")
 def blocked_hosts(spark, d):
     logs = table(spark, d, "crawl_logs")
-    return C.blocked_domains(logs, L._now(logs) - 30 * L.DAY).select("domain").unionByName(spark.createDataFrame([("invalid",)], "domain string")).distinct()
+    return C.blocked_domains(logs, L._now(logs) - 200 * L.DAY).select("domain").unionByName(spark.createDataFrame([("invalid",)], "domain string")).distinct()
 
 
 ADMIT = "regexp_matches(dst, '^https?://') and not regexp_matches(dst, '[?#*]')"
