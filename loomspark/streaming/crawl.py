@@ -69,11 +69,11 @@ def backoff(state: tuple, rows: list[tuple[int, bool]], delay: float = 1.0) -> t
     return next_at, until, streak
 
 
-def domain_states(results: DataFrame, delay: float = 1.0, expires: str = "30 days") -> DataFrame:
+def domain_states(results: DataFrame, delay: float = 1.0, late: str = "1 day", expires: int = 30) -> DataFrame:
     """The state machine of each domain over a stream of (domain, at, ok); one row per domain and batch.
 
-    Results older than the last one seen come too late to change the state.  A domain without results for `expires` is forgotten."""
-    days = int(expires.split()[0])
+    Results older than the last one seen come too late to change the state.  A domain without results for
+    `expires` days of event time is forgotten, and rows behind the watermark are dropped."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -83,10 +83,11 @@ def domain_states(results: DataFrame, delay: float = 1.0, expires: str = "30 day
         rows = sorted((int(a), bool(o)) for p in parts for a, o in zip(p["at"], p["ok"]) if a >= seen)
         new = backoff(tuple(old), rows, delay)
         state.update((*new, max([seen, *(a for a, _ in rows)])))
-        state.setTimeoutDuration(days * 86_400_000)
+        state.setTimeoutTimestamp(max((max([seen, *(a for a, _ in rows)]) + expires * 86_400) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *new)], columns=["domain", "next_request_at", "backoff_until", "fail_streak"]).astype({"next_request_at": "Int64", "backoff_until": "Int64", "fail_streak": "int32"})
 
-    return results.groupBy("domain").applyInPandasWithState(step, DOMAIN, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed_results = results.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", late)
+    return timed_results.groupBy("domain").applyInPandasWithState(step, DOMAIN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def versions(spark, path: str) -> list[int]:
