@@ -312,8 +312,8 @@ class Spam:
     """Labels lines by Viterbi's algorithm; a page is spam if its link and tag words are at least half of those outside of menus."""
 
     SHARE, LEAST = 0.5, 6
-    #: Lines that the prior of each state counts as.
-    PRIOR = 400
+    #: Lines that the prior of each state counts as; rounds of the fit; lines that it handles at a time.
+    PRIOR, ROUNDS, LINES = 400, 5, 200_000
 
     def __init__(self, emit=EMIT, move=MOVE, start=START):
         self.set(tied(np.pad(np.array(emit), ((0, 0), (0, 2)))), np.array(move), np.array(start))
@@ -324,33 +324,59 @@ class Spam:
         self.columns = [tuple(row[o] for row in e) for o in range(len(e[0]))]
         self.move = [tuple(row[k] for row in m) for k in range(4)]
 
-    def fit(self, pages: list[list[int]], rounds: int = 5) -> "Spam":
+    def fit(self, pages: list[list[int]], rounds: int = ROUNDS) -> "Spam":
         """Baum-Welch over observed pages, with EMIT, MOVE and START as prior counts."""
-        prior = [np.pad(np.array(EMIT), ((0, 0), (0, 2))) * self.PRIOR, np.array(MOVE) * self.PRIOR, np.array(START) * self.PRIOR]
-        pages = [p for p in pages if p]
-        for _ in range(rounds if pages else 0):
-            b, a, pi = self.p
-            emit, move, start = (x.copy() for x in prior)
-            for page in pages:
-                o = np.array(page)
-                n = len(o)
-                f, c, back = np.empty((n, 4)), np.empty(n), np.ones((n, 4))
-                v = pi * b[:, o[0]]
-                for t in range(n):
-                    if t:
-                        v = (f[t - 1] @ a) * b[:, o[t]]
-                    c[t] = v.sum()
-                    f[t] = v / c[t]
-                for t in range(n - 2, -1, -1):
-                    back[t] = a @ (b[:, o[t + 1]] * back[t + 1]) / c[t + 1]
-                gamma = f * back
-                start += gamma[0]
-                np.add.at(emit.T, o, gamma)
-                if n > 1:
-                    move += a * (f[:-1].T @ (b[:, o[1:]].T * back[1:] / c[1:, None]))
-            self.set(tied(emit), move, start)
+        seen = Counter(bytes(p) for p in pages if p)
+        for _ in range(rounds if seen else 0):
+            self.update(*self.expected(seen))
         return self
 
+    def update(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
+        """Takes what `expected` gives for all pages, or its sum over parts of them."""
+        prior = np.pad(np.array(EMIT), ((0, 0), (0, 2))), np.array(MOVE), np.array(START)
+        emit, move, start = (p * self.PRIOR + x for p, x in zip(prior, (emit, move, start)))
+        self.set(tied(emit), move, start)
+
+    def expected(self, seen: dict[bytes, int]) -> list[np.ndarray]:
+        """Expected counts of emissions, moves and starts over observed pages and how often each occurs."""
+        total = [np.zeros((4, NAKED + 1)), np.zeros((4, 4)), np.zeros(4)]
+        part, lines = [], 0
+        for page in filter(None, seen):
+            if part and lines + len(page) > self.LINES:
+                total, part, lines = [x + y for x, y in zip(total, self._expected(part, [seen[p] for p in part]))], [], 0
+            part.append(page)
+            lines += len(page)
+        return [x + y for x, y in zip(total, self._expected(part, [seen[p] for p in part]))] if part else total
+
+    def _expected(self, pages: list[bytes], times: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward over many pages at once: rows in order of line number, longest page first, so that the pages that have a next line come first."""
+        b, a, pi = self.p
+        n = len(pages)
+        order = sorted(range(n), key=lambda i: -len(pages[i]))
+        sizes = np.array([len(pages[i]) for i in order])
+        ends = np.searchsorted(-sizes, -np.arange(sizes[0]))  # pages of more than t lines
+        at = np.concatenate([[0], np.cumsum(ends)])
+        owner = np.repeat(np.arange(n), sizes)
+        place = at[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] + owner
+        o, w = np.empty(len(owner), dtype=np.int64), np.empty(len(owner))
+        o[place] = np.frombuffer(b"".join(pages[i] for i in order), dtype=np.uint8)
+        w[place] = np.array(times, dtype=float)[order][owner]
+        e = b.T[o]
+        f, back = np.empty(e.shape), np.ones(e.shape)
+        for t in range(len(ends)):
+            here = slice(at[t], at[t + 1])
+            v = (f[at[t - 1] : at[t - 1] + ends[t]] @ a if t else pi) * e[here]
+            c = v.sum(1, keepdims=True)
+            f[here] = v / c
+            e[here] /= c
+        for t in range(len(ends) - 2, -1, -1):
+            here = slice(at[t + 1], at[t + 2])
+            back[at[t] : at[t] + ends[t + 1]] = (e[here] * back[here]) @ a.T
+        gamma = f * back * w[:, None]
+        before = np.arange(n, len(o)) - np.repeat(ends[:-1], ends[1:])
+        move = a * (f[before].T @ (e[n:] * back[n:] * w[n:, None]))
+        return np.array([np.bincount(o, g, NAKED + 1) for g in gamma.T]), move, gamma[:n].sum(0)
+
     def label(self, observed: list[int]) -> list[int]:
         if not observed:
             return []
@@ -377,9 +403,13 @@ class Spam:
 
     def counts(self, lines: list[Line], title: Line | None = None) -> tuple[int, int, int, int, list[int]]:
         """Words of prose, link lists, tag lists and menus, and the labels; every page is decoded."""
-        states = self.label(observations(lines, title))
-        states = states[len(states) - len(lines) :]
+        return self.sums(observations(lines, title), [x.words + x.links for x in lines])
+
+    def sums(self, observed, words: list[int]) -> tuple[int, int, int, int, list[int]]:
+        """The same of what is observed of a page and the words of each of its lines."""
+        states = self.label(observed)
+        states = states[len(states) - len(words) :]
         n = [0, 0, 0, 0]
-        for s, x in zip(states, lines):
-            n[s] += x.words + x.links
+        for s, x in zip(states, words):
+            n[s] += x
         return *n, states

@@ -12,14 +12,17 @@ results.  Repeated rows give one row (results are distinct).  Extra columns are
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.urls import normalize_for_admission
 from ..session import cut, hash_sample, ship
@@ -31,7 +34,7 @@ from .lookalikes import Lookalikes, letters, shapes_of
 
 #: At most so many labelled samples are read to the driver; a longer table is refused.
 SAMPLES = 20_000
-#: At most so many pages, each of less than LENGTH characters, are read to the driver to fit the models of problems 1 and 7.
+#: At most so many pages, each of less than LENGTH characters, are read to the driver by `fit_pages`.
 SAMPLE, LENGTH = 1_500, 20_000
 #: Confidence at which a line of running text (a sentence, or two words and more) is in another language than its page.
 SURE = 0.9
@@ -166,18 +169,59 @@ def _documents(spark, folder, *columns) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*columns)
 
 
+_SEEN = "seen binary, words array<int>"
+
+
+def _seen(a: Analyzer, title: str, lines: list[Line]) -> tuple[bytes, list[int]]:
+    """What problem 1 needs of a page once its text is read: what its model sees, and the words of each line."""
+    return bytes(observations(lines, a.lines.line(title) if title else None)), [x.words + x.links for x in lines]
+
+
+def fit_spam(seen: DataFrame) -> Spam:
+    """The model of problem 1, fitted on every page of a written table with _SEEN: each task adds up its pages, and only these sums reach the driver."""
+    ship(seen.sparkSession)
+    m = Spam()
+    for _ in range(m.ROUNDS):
+
+        def run(batches, m=m):
+            parts = [m.expected(Counter(batch.column(0).to_pylist())) for batch in batches]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([sum(x).ravel() for x in zip(*parts)]).tolist()])], names=["n"])
+
+        got = np.array([r.n for r in seen.select("seen").where("length(seen) > 0").mapInArrow(run, "n array<double>").collect()])
+        if not len(got):
+            break
+        # exact sums: the order of tasks doesn't count
+        emit, move, start = np.split(np.array([math.fsum(x) for x in got.T]), np.cumsum([m.p[0].size, m.p[1].size]))
+        m.update(emit.reshape(m.p[0].shape), move.reshape(m.p[1].shape), start)
+    return m
+
+
+def decoded(seen: DataFrame, m: Spam) -> DataFrame:
+    """The words by kind of line in place of _SEEN."""
+    others = [c for c in seen.columns if c not in ("seen", "words")]
+    schema = StructType([seen.schema[c] for c in others] + [StructField(c, IntegerType()) for c in ("prose", "listed", "tagged")])
+
+    def run(batches):
+        for batch in batches:
+            counts = [m.sums(o, w)[:3] for o, w in zip(batch.column("seen").to_pylist(), batch.column("words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array([n[k] for n in counts], pa.int32()) for k in range(3)], names=schema.names)
+
+    return seen.mapInArrow(run, schema)
+
+
 def spam_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Problem 1: every document with its words by kind of line, its outgoing links and whether it is spam.
 
-    What a template or a server left (problem 2) is no list of keywords."""
+    What a template or a server left (problem 2) is no list of keywords.  Texts are read once; the model is
+    fitted on what it sees of all pages, and decodes that."""
 
     def rows(a, c):
-        pages = [a.page(t, x) for t, x in zip(c[2], c[3])]
-        got = [a.spam.counts(lines, a.lines.line(t) if t else None) for t, lines in pages]
-        return c[0], c[1], [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
+        got = [_seen(a, *a.page(t, x)) for t, x in zip(c[2], c[3])]
+        return c[0], c[1], [g[0] for g in got], [g[1] for g in got]
 
-    counted = over(_documents(spark, folder, "doc_id", "url", "title", "content"), fit_pages(spark, folder, samples_of(spark, folder)), rows, "doc_id long, url string, prose int, listed int, tagged int")
-    return with_links(counted, spark.read.parquet(f"{folder}/links.parquet")).withColumn("spam", spam_column())
+    seen = cut(over(_documents(spark, folder, "doc_id", "url", "title", "content"), {"samples": samples_of(spark, folder)}, rows, f"doc_id long, url string, {_SEEN}"))
+    return with_links(decoded(seen, fit_spam(seen)), spark.read.parquet(f"{folder}/links.parquet")).withColumn("spam", spam_column())
 
 
 def p1_found(spark, folder):

@@ -3,10 +3,12 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import leaks, packing, pages, queries, repeats
+from loomspark.llm.lines import Spam, observations
 from loomspark.llm.pages import link_counts
 
 DOCS = "doc_id long, url string, title string, content string, text string, lang string, source string, n_chars long, indexed_at timestamp_ntz"
@@ -181,3 +183,37 @@ def test_another_language(spark, tmp_path, samples):
     docs = [(1, "https://a.example/1", "Orari della biblioteca", text, text, "en", "a.example", 9, None)]
     folder = write(spark, tmp_path, {"documents": docs, "lang_samples": samples + more})
     assert found(spark, folder, "p3_found") == {(1, 0, "it")}
+
+
+PROSE, LINK = "The library opens at nine and closes at six today.", "https://a.example/x"
+
+
+def near_even(samples):
+    """Documents of which one is decoded otherwise when the model learns from the long ones too, and the words of each kind by a model fitted on all of them."""
+    long = "\n".join(([PROSE] * 3 + ["Velo"] * 2) * 150 + [LINK])
+    texts = [long] * 30 + ["\n".join([PROSE, LINK] + ["Velo"] * 6), None]
+    assert len(long) > 20_000
+    a = pages.Analyzer([r[1:] for r in samples])
+    lines = [a.page("", x)[1] for x in texts]
+    whole, short = (Spam().fit([observations(x) for x in part]) for part in (lines, lines[30:]))
+    want = {i: whole.counts(x)[:3] for i, x in enumerate(lines)}
+    assert short.counts(lines[30])[:3] == (10, 7, 0) != want[30]
+    return [(i, f"https://a.example/{i}", "", x, x, "en", "a.example", 9, None) for i, x in enumerate(texts)], want
+
+
+def test_p1_learns_from_every_page(spark, tmp_path, samples):
+    docs, want = near_even(samples)
+    folder = write(spark, tmp_path, {"documents": docs, "lang_samples": samples})
+    assert {r.doc_id: (r.prose, r.listed, r.tagged) for r in queries.queries()["p1_kinds"](spark, folder).collect()} == want
+
+
+def test_p1_sums_of_parts(spark, samples):
+    """However the pages lie in partitions, and however many lines are handled at a time, the model is the same."""
+    seen = [bytes([i % 7, i % 5, 5, 0][: i % 5]) for i in range(3000)]
+    whole = Spam().fit(seen)
+    for n in (1, 7):
+        m = pages.fit_spam(spark.createDataFrame([(bytearray(x),) for x in seen], "seen binary").repartition(n))
+        assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(m.p, whole.p))
+    part = Spam()
+    part.LINES = 10
+    assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(part.fit(seen).p, whole.p))
