@@ -242,17 +242,17 @@ def p2_found(spark, folder):
 
 
 def languages(spark: SparkSession, folder: str) -> DataFrame:
-    """Problem 3: (doc_id, url, label, lang, confidence, lines) with counts for problems 1 and 2; lines holds those in another language."""
+    """Problem 3: (doc_id, url, label, lang, confidence, lines) with what problem 1 sees and problem 2 finds; lines holds those in another language."""
     samples = samples_of(spark, folder)
-    schema = _COUNTS + ", label string, lang string, confidence double, lines array<struct<line_no:int, lang:string, confidence:double>>"
+    schema = f"doc_id long, url string, {_SEEN}, residue boolean, label string, lang string, confidence double, lines array<struct<line_no:int, lang:string, confidence:double>>"
 
     def rows(a, c):
         pages = [a.page(t, x) for t, x in zip(c[2], c[3])]
-        counts = [_counts(a, *p) for p in pages]
+        seen = [_seen(a, *p) for p in pages]
         lang, sure, other = a.languages([p[0] for p in pages], [p[1] for p in pages])
-        return c[0], c[1], *map(list, zip(*counts)), [code(x) for x in c[4]], lang, sure, [[{"line_no": k, "lang": g, "confidence": p} for k, g, p in o] for o in other]
+        return c[0], c[1], [s[0] for s in seen], [s[1] for s in seen], [a.lines.residue_in(*p) for p in pages], [code(x) for x in c[4]], lang, sure, [[{"line_no": k, "lang": g, "confidence": p} for k, g, p in o] for o in other]
 
-    return over(_documents(spark, folder, "doc_id", "url", "title", "content", "lang"), {**fit_pages(spark, folder, samples), "language": LanguageModel(samples)}, rows, schema)
+    return over(_documents(spark, folder, "doc_id", "url", "title", "content", "lang"), {"samples": samples, "language": LanguageModel(samples)}, rows, schema)
 
 
 def sound(df: DataFrame, spark, folder) -> DataFrame:
@@ -261,8 +261,9 @@ def sound(df: DataFrame, spark, folder) -> DataFrame:
 
 
 def p3_found(spark, folder):
-    found = languages(spark, folder).where("doc_id is not null and lang <> '' and (label <> lang or size(lines) > 0)")
-    each = sound(found, spark, folder).select("doc_id", F.explode(F.concat(F.when(F.col("label") != F.col("lang"), F.array(F.struct(F.lit(0).alias("line_no"), F.col("lang").alias("lang")))).otherwise(F.expr("array()")), F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["lang"].alias("lang"))))).alias("x"))
+    seen = cut(languages(spark, folder))
+    found = seen.where("doc_id is not null and lang <> '' and (label <> lang or size(lines) > 0)")
+    each = sound(decoded(found, fit_spam(seen)), spark, folder).select("doc_id", F.explode(F.concat(F.when(F.col("label") != F.col("lang"), F.array(F.struct(F.lit(0).alias("line_no"), F.col("lang").alias("lang")))).otherwise(F.expr("array()")), F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["lang"].alias("lang"))))).alias("x"))
     return each.select("doc_id", "x.line_no", "x.lang").distinct()
 
 

@@ -217,3 +217,12 @@ def test_p1_sums_of_parts(spark, samples):
     part = Spam()
     part.LINES = 10
     assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(part.fit(seen).p, whole.p))
+
+
+def test_p3_leaves_out_what_p1_finds(spark, tmp_path, samples):
+    """A page that is spam by the model of all pages, and wasn't by that of the short ones, gives no rows."""
+    docs, _ = near_even(samples)
+    docs = [(*d[:5], "de", *d[6:]) for d in docs]
+    folder = write(spark, tmp_path, {"documents": docs, "lang_samples": samples})
+    assert found(spark, folder, "p1_found") == {(30,)}
+    assert found(spark, folder, "p3_found") == {(i, 0, "en") for i in range(30)}
