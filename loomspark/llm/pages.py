@@ -47,9 +47,9 @@ _built: dict[str, "Analyzer"] = {}
 class Analyzer:
     """All models of a pass; parts that a pass doesn't use are never built."""
 
-    def __init__(self, samples: list[tuple[str, str]], bodies: Bodies | None = None, language: LanguageModel | None = None, spam: Spam | None = None, counts: dict | None = None, shapes: dict | None = None):
+    def __init__(self, samples: list[tuple[str, str]], bodies: Bodies | None = None, language: LanguageModel | None = None, counts: dict | None = None, shapes: dict | None = None):
         self.encodings, self.lookalikes, self.lines = Encodings(samples), Lookalikes(counts or letters(samples), shapes), Lines()
-        self.bodies, self.language, self.spam = bodies, language, spam or Spam()
+        self.bodies, self.language, self.spam = bodies, language, Spam()
 
     def field(self, text: str | None) -> tuple[str, bool, bool]:
         """(in normal form, garbled, look-alikes)."""
@@ -145,15 +145,6 @@ def link_counts(links: DataFrame) -> DataFrame:
     return links.where("src is not null and dst like 'http%'").where(host(F.col("src")) != host(F.col("dst"))).groupBy(F.col("src").alias("link_src")).agg(F.size(F.collect_set(F.xxhash64(page))).alias("outgoing"))
 
 
-_COUNTS = "doc_id long, url string, prose int, listed int, tagged int, residue boolean"
-
-
-def _counts(a: Analyzer, title, lines) -> tuple[int, int, int, bool]:
-    p, l, t, _, _ = a.spam.counts(lines, a.lines.line(title) if title else None)
-    left = a.lines.residue_in(title, lines)
-    return (p, 0, 0, True) if left else (p, l, t, False)
-
-
 def spam_column(share: float = 0.5, least: int = 6):
     """Flag by non-prose word share.  Outgoing links to other hosts speak for a list where the words are about even."""
     words = F.col("listed") + F.col("tagged")
@@ -337,31 +328,29 @@ def p5_found(spark, folder):
     return lookalike_fields(spark, folder).distinct()
 
 
-def fit_pages(spark: SparkSession, folder: str, samples: list[tuple[str, str]], bodies: bool = False, limit: int = SAMPLE, length: int = LENGTH) -> dict:
-    """The models that learn from pages: problem 1's transitions and emissions and, if asked for, problem 7's trees.
+def fit_pages(spark: SparkSession, folder: str, samples: list[tuple[str, str]], limit: int = SAMPLE, length: int = LENGTH) -> dict:
+    """Problem 7's trees, fitted on at most `limit` pages of less than `length` characters whose hashes lie in one range.
 
-    They are fitted on at most `limit` pages of less than `length` characters whose hashes lie in one range."""
+    Training leaves out what looks like spam by a model of these pages; which documents problems 7 and 10 leave out is decided by `fit_spam`."""
     docs = _documents(spark, folder, "doc_id", "source", "title", "content").where(F.col("content").isNotNull() & (F.length("content") < length))
     a = Analyzer(samples, shapes=shapes_of(spark))
     read = [(r.source, *a.page(r.title, r.content)) for r in hash_sample(docs, "doc_id", limit)]
-    a.spam.fit([observations(lines, a.lines.line(t) if t else None) for _, t, lines in read])
-    out: dict = {"samples": samples, "spam": a.spam}
-    if bodies:
-        sound = [(host, lines) for host, t, lines in read if not (n := _counts(a, t, lines))[3] and n[1] + n[2] <= n[0]]
-        out["bodies"] = Bodies([p for _, p in sound], [h for h, _ in sound])
-    return out
+    seen = [_seen(a, t, lines) for _, t, lines in read]
+    a.spam.fit([o for o, _ in seen])
+    kept = [(host, lines) for (host, t, lines), s in zip(read, seen) if not a.lines.residue_in(t, lines) and sum((n := a.spam.sums(*s))[1:3]) <= n[0]]
+    return {"samples": samples, "bodies": Bodies([p for _, p in kept], [h for h, _ in kept])}
 
 
 def outside(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Problem 7: for documents and for parse_results, (doc_id, ..., other): the numbers of the lines that aren't body."""
     samples = samples_of(spark, folder)
-    parts = fit_pages(spark, folder, samples, True)
+    parts = fit_pages(spark, folder, samples)
 
     def rows(a, c):
         pages = [a.page(t, x) for t, x in zip(c[2], c[3])]
-        counts = [_counts(a, *p) for p in pages]
+        seen = [_seen(a, *p) for p in pages]
         labels = a.bodies.label([p[1] for p in pages])
-        return c[0], c[1], *map(list, zip(*counts)), [[k + 1 for k, (b, x) in enumerate(zip(label, p[1])) if not b and x.text] for label, p in zip(labels, pages)]
+        return c[0], c[1], [s[0] for s in seen], [s[1] for s in seen], [a.lines.residue_in(*p) for p in pages], [[k + 1 for k, (b, x) in enumerate(zip(label, p[1])) if not b and x.text] for label, p in zip(labels, pages)]
 
     def parsed(a, c):
         labels = a.bodies.label(pages := [a.page(None, x)[1] for x in c[1]])
@@ -369,13 +358,14 @@ def outside(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
     pages = spark.read.parquet(f"{folder}/parse_results.parquet").select("page_id", "content")
     return (
-        over(_documents(spark, folder, "doc_id", "url", "title", "content"), parts, rows, _COUNTS + ", other array<int>"),
+        over(_documents(spark, folder, "doc_id", "url", "title", "content"), parts, rows, f"doc_id long, url string, {_SEEN}, residue boolean, other array<int>"),
         over(pages, parts, parsed, "page_id long, other array<int>"),
     )
 
 
 def p7_found(spark, folder):
     docs, parsed = outside(spark, folder)
-    docs = sound(docs.where("size(other) > 0"), spark, folder).select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), F.explode("other").alias("line_no"))
+    seen = cut(docs)
+    docs = sound(decoded(seen.where("size(other) > 0"), fit_spam(seen)), spark, folder).select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), F.explode("other").alias("line_no"))
     parsed = parsed.select(F.lit("parse_results").alias("table_name"), F.col("page_id").alias("row_id"), F.explode("other").alias("line_no"))
     return docs.unionByName(parsed).where("row_id is not null").distinct()

@@ -226,3 +226,14 @@ def test_p3_leaves_out_what_p1_finds(spark, tmp_path, samples):
     folder = write(spark, tmp_path, {"documents": docs, "lang_samples": samples})
     assert found(spark, folder, "p1_found") == {(30,)}
     assert found(spark, folder, "p3_found") == {(i, 0, "en") for i in range(30)}
+
+
+def test_p7_and_p10_keep_what_p1_does_not_find(spark, tmp_path, samples):
+    """By the same model as p1_found, that of all pages; a model of the short ones alone took this one for a list."""
+    docs, _ = near_even(samples)
+    page = "\n".join(["Skip to content", PROSE, LINK] + ["one two three four five six seven eight nine ten"] * 8)
+    docs.append((99, "https://a.example/99", "", page, page, "en", "a.example", 9, None))
+    folder = write(spark, tmp_path, {"documents": docs, "lang_samples": samples, "reading_labels": [(0, "a", 1), (1, "b", 3)]})
+    assert (99,) not in found(spark, folder, "p1_found")
+    assert ("documents", 99, 1) in found(spark, folder, "p7_found")
+    assert 99 in {i for i, _ in found(spark, folder, "p10_found")}
